@@ -50,11 +50,11 @@ def window_cuts(at: np.ndarray, penalty: np.ndarray, size: int) -> list[int]:
 
 
 def places_to_cut(doc_ends: np.ndarray, sentence_ends: np.ndarray, size: int, sentence_penalty: float, hard_penalty: float) -> tuple[np.ndarray, np.ndarray]:
-    """Increasing places with their penalties; where they lie more than an eighth of a window apart, places in between."""
+    """Increasing places with their penalties; where they lie further apart than size / 128, places in between."""
     at = np.union1d(doc_ends, sentence_ends)
     at = at[at > 0]
     penalty = np.where(np.isin(at, doc_ends), 0.0, sentence_penalty)
-    step = max(1, size // 8)
+    step = max(1, size // 128)
     before = np.concatenate([[0], at[:-1]])
     wide = np.flatnonzero(at - before > step)
     if len(wide):
@@ -128,7 +128,7 @@ class _Packer:
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = 2, size: int = 4096,
-         sentence_penalty: float = 2.0, hard_penalty: float = 64.0) -> DataFrame:
+         sentence_penalty: float = 2.0, hard_penalty: float = 16.0) -> DataFrame:
     """Packs whole documents (ids plus end_id) into sequences of at most `size`: one row for each piece,
     (id, start, length, ids, doc_tokens, sequence_id, offset), ids as little-endian unsigned 32-bit integers.
 
