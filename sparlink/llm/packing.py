@@ -7,6 +7,7 @@ size - (at(j) - at(i)), the minimum is that of cost(i) + at(i) in a sliding rang
 """
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 
@@ -25,7 +26,10 @@ SHARD = 1 << 40
 
 
 def window_cuts(at: np.ndarray, penalty: np.ndarray, size: int) -> list[int]:
-    """Cheapest cuts of [0, at[-1]) at some of the places at (increasing, gaps of at most size), the last included."""
+    """Cheapest cuts of [0, at[-1]) at some of the places at (increasing, gaps of at most size), the last included.
+
+    The last window's padding counts nothing: it is cut into powers of two, or waits for more.
+    """
     places, costs = at.tolist(), penalty.tolist()
     best = [0.0] * (len(places) + 1)  # best[i + 1]: cost of cutting at places[i]; best[0]: the start
     came = [0] * (len(places) + 1)
@@ -42,7 +46,9 @@ def window_cuts(at: np.ndarray, penalty: np.ndarray, size: int) -> list[int]:
         while queue and best[queue[-1]] + pos[queue[-1]] >= key:
             queue.pop()
         queue.append(j)
-    cuts, j = [], len(pos) - 1
+    last = len(pos) - 1
+    came[last] = min((i for i in range(bisect_left(pos, pos[last] - size), last)), key=best.__getitem__)
+    cuts, j = [], last
     while j:
         cuts.append(pos[j])
         j = came[j]
