@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .bpe_trie import bpe_encode_decode
 from .common import new_dir, tokenizer_path
 from .packing import pack
+from .simhash import near_duplicates
 from .token_shards import read_documents, write_token_shards
 
 
@@ -29,5 +30,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op6_token_ids": op6_token_ids, "op9_packing": op9_packing}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, seed=42, radius=3)
+    return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op10_simhash": op10_simhash, "op2_bpe": op2_bpe, "op6_token_ids": op6_token_ids, "op9_packing": op9_packing}
 ORACLES: dict[str, str] = {}
