@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .bpe_trie import bpe_encode_decode
 from .common import new_dir, tokenizer_path
+from .line_dedup import drop_repeated_lines
 from .packing import pack
 from .simhash import near_duplicates
 from .token_shards import read_documents, write_token_shards
@@ -25,6 +26,12 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, done)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = drop_repeated_lines(docs, "text", min_docs=10, least=1)
+    return got.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = pack(_table(spark, sf_dir, "documents"), path=tokenizer_path(), end_id=2, size=4096)
     return got.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -35,5 +42,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op10_simhash": op10_simhash, "op2_bpe": op2_bpe, "op6_token_ids": op6_token_ids, "op9_packing": op9_packing}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op8_line_dedup": op8_line_dedup, "op10_simhash": op10_simhash, "op2_bpe": op2_bpe, "op6_token_ids": op6_token_ids, "op9_packing": op9_packing}
+OP8_SQL = """
+with rows as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+lines as (select r, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from rows),
+keyed as (select r, i, line, translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'),
+                                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from lines),
+often as (select key from keyed where length(key) >= 1 group by key having count(distinct r) >= 10),
+marked as (select k.r, k.i, k.line, o.key is not null as dropped from keyed k left join often o on k.key = o.key)
+select any_value(rows.doc_id) as doc_id, count(*) as n_lines, count(*) filter (where dropped) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not dropped), '')) as kept_sha256
+from marked join rows using (r) group by r
+"""
+
+ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL}
