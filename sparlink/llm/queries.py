@@ -8,14 +8,27 @@ from .bpe_trie import bpe_encode_decode
 from .common import new_dir, tokenizer_path
 from .line_dedup import drop_repeated_lines
 from .packing import pack
+from .quality_rules import quality_rules
 from .simhash import near_duplicates
 from .token_shards import read_documents, write_token_shards
+from .warc import read_warc, write_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return got.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_dir(spark, "op4")
+    write_warc(_table(spark, sf_dir, "pages"), folder)
+    return read_warc(spark, folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = bpe_encode_decode(_table(spark, sf_dir, "documents"), path=tokenizer_path())
     return got.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
@@ -42,7 +55,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op8_line_dedup": op8_line_dedup, "op10_simhash": op10_simhash, "op2_bpe": op2_bpe, "op6_token_ids": op6_token_ids, "op9_packing": op9_packing}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op4_warc": op4_warc, "op8_line_dedup": op8_line_dedup, "op10_simhash": op10_simhash, "op2_bpe": op2_bpe, "op6_token_ids": op6_token_ids, "op9_packing": op9_packing}
 OP8_SQL = """
 with rows as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
 lines as (select r, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from rows),
@@ -55,4 +68,12 @@ select any_value(rows.doc_id) as doc_id, count(*) as n_lines, count(*) filter (w
 from marked join rows using (r) group by r
 """
 
-ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL}
+OP4_SQL = """
+with p as (select page_id, coalesce(html, '') as html, sha256(coalesce(html, '')) as payload_digest, cast(octet_length(encode(coalesce(html, ''))) as bigint) as payload_bytes from pages),
+f as (select *, min(page_id) over (partition by html) as first from p)
+select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 100 and page_id <> first then first end as refers_to
+from f
+"""
+
+ORACLES: dict[str, str] = {"op4_warc": OP4_SQL, "op8_line_dedup": OP8_SQL}
