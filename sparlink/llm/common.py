@@ -1,6 +1,8 @@
 """Shared helpers: the shared folder, written tables that cut lineage, file access from any process."""
 from __future__ import annotations
 
+import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -60,6 +62,18 @@ def commit_file(fs: pafs.FileSystem, temporary: str, final: str) -> None:
     fs.move(temporary, final)
 
 
+@contextlib.contextmanager
+def no_collector() -> Iterator[None]:
+    """Holds Python's cycle collector off while a step makes many small objects, none of them cyclic."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -29,8 +29,8 @@ def encoded_in_order(df: DataFrame, id_col: str, text_col: str, path: str, end_i
         end = np.array([end_id], dtype=enc.dtype).tobytes()
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            for b in slices(batch):
-                got = [x + end for x in enc.encode(b.column(1).to_pylist())]
+            for b in slices(batch, 16 << 20):
+                got = [x + end for x in enc.encode(b.column(1)).to_pylist()]
                 ids = b.column(0)
                 where = np.searchsorted(bounds, ids.fill_null(0).to_numpy(zero_copy_only=False), side="left")
                 where[ids.is_null().to_numpy(zero_copy_only=False)] = 0

@@ -4,21 +4,27 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: White space of the tokenizer files' regular expressions: Unicode's White_Space. str.split()
-#: also splits at \x1c-\x1f, which are no white space there.
-_WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
-_NOT_WHITE = re.compile("[\x1c-\x1f]")
-_WHITE_CHARS = "\t\n\x0b\x0c\r \x85\xa0      　"
+from .common import no_collector
 
+#: White space of the tokenizer files' regular expressions: Unicode's White_Space. Python and Arrow
+#: also split at \x1c-\x1f, which are no white space there.
+_WHITE_CHARS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_WHITE = re.compile(f"[{_WHITE_CHARS}]+")
 
-def chunks(text: str) -> list[str]:
-    """The text's runs without white space."""
-    if _NOT_WHITE.search(text):
-        return [x for x in _WHITE.split(text) if x]
-    return text.split()
+
+def split_runs(texts: pa.Array) -> pa.Array:
+    """Each text's runs without white space, as a list array; null texts have none."""
+    texts = pc.fill_null(texts, "")
+    if pc.any(pc.match_substring_regex(texts, "[\\x1c-\\x1f]")).as_py():
+        return pa.array([[x for x in _WHITE.split(t) if x] for t in texts.to_pylist()], pa.list_(pa.string()))
+    return pc.utf8_split_whitespace(texts)
 
 
 def drops_white_space(spec: dict) -> bool:
@@ -47,14 +53,89 @@ def drops_white_space(spec: dict) -> bool:
     return not any(c in m.group() for c in _WHITE_CHARS for m in pattern.finditer(f"a{c}b{c}{c}1{c}!{c}"))
 
 
-class Encoder:
-    """encode(texts) gives little-endian ids of whole texts, as the tokenizers library does.
+#: Fixed value: a pattern under which letters followed by other marks are two words on their own.
+_LETTERS_THEN_MARKS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Letters, and ASCII marks that may follow them; an apostrophe may belong to them and is none.
+_PARTS = r"^(?P<word>\p{L}+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
+
+
+def has_words_and_marks(spec: dict) -> bool:
+    """Whether a word of letters and the marks behind it are encoded on their own, whatever the letters' case."""
+    pre = spec.get("pre_tokenizer") or {}
+    return drops_white_space(spec) and pre.get("pretokenizers", [pre])[0]["pattern"]["Regex"] == _LETTERS_THEN_MARKS and "Lowercase" in str(spec["normalizer"])
+
 
-    Where the tokenizer drops white space, each distinct run of other characters is encoded once
-    and kept, up to `keep` runs of at most 64 characters; then the store is emptied, so memory is bounded.
+def words_and_marks(runs: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """(word, marks, lettered) of distinct runs: a lower-cased word of letters alone and the marks behind it, or the
+    run as it is and no marks."""
+    parts = pc.extract_regex(runs, _PARTS)
+    word, marks = parts.field("word"), parts.field("marks")
+    low = pc.utf8_lower(word)
+    plain = pc.or_(pc.string_is_ascii(word), pc.and_(pc.equal(pc.utf8_normalize(word, "NFC"), word), pc.and_(pc.utf8_is_alpha(low), pc.invert(pc.match_substring(word, "\u0130")))))
+    fits = pc.fill_null(pc.and_(plain, pc.is_valid(parts)), False)
+    return pc.if_else(fits, low, runs), pc.if_else(fits, marks, ""), fits
+
+
+class RunCoder:
+    """Maps whole texts to bytes, run by run; each distinct run of a batch is looked at once, in Arrow's kernels.
+
+    learn(words, lettered) gives one or more byte strings for each new word. Up to `keep` words of at most 64
+    characters are kept between batches; then the store is emptied, so memory is bounded.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, learn: Callable[[list[str], bool], list[tuple[bytes, ...]]], outputs: int, parted: bool, keep: int = 1_000_000):
+        self.learn, self.outputs, self.parted, self.keep = learn, outputs, parted, keep
+        self.known: dict[str, tuple[bytes, ...]] = {}
+
+    def _of(self, words: pa.Array, lettered: pa.Array | None) -> list[pa.Array]:
+        """The outputs of each word, by its distinct values."""
+        d = words.dictionary_encode()
+        keys = d.dictionary.to_pylist()
+        known = self.known
+        have = list(map(known.get, keys))
+        new = [i for i, x in enumerate(have) if x is None]
+        if new:
+            if lettered is not None:
+                first = np.zeros(len(keys), dtype=bool)
+                first[d.indices.to_numpy()] = lettered.to_numpy(zero_copy_only=False)
+                kinds = first[new].tolist()
+            else:
+                kinds = [False] * len(new)
+            for kind in (True, False):
+                own = [i for i, k in zip(new, kinds, strict=True) if k == kind]
+                if own:
+                    for i, x in zip(own, self.learn([keys[i] for i in own], kind), strict=True):
+                        have[i] = x
+                        if len(keys[i]) <= 64:
+                            known[keys[i]] = x
+        return [pa.array([x[k] for x in have], pa.binary()).take(d.indices) for k in range(self.outputs)]
+
+    def code(self, texts: pa.Array) -> list[pa.Array]:
+        """For each output a binary array: each text's bytes, run after run."""
+        if len(self.known) > self.keep:
+            self.known.clear()
+        with no_collector():
+            lists = split_runs(texts)
+            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+            d = lists.flatten().dictionary_encode()
+            if self.parted:
+                words, marks, lettered = words_and_marks(d.dictionary)
+                outs = [pc.binary_join_element_wise(a, b, b"") for a, b in zip(self._of(words, lettered), self._of(marks, None), strict=True)]
+            else:
+                outs = self._of(d.dictionary, None)
+            got = []
+            for x in outs:
+                flat = x.take(d.indices)
+                _, offsets, data = flat.buffers()
+                at = np.frombuffer(offsets, np.int32)[ends].astype(np.int32) if len(flat) else np.zeros(len(ends), np.int32)
+                got.append(pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(at), data or pa.py_buffer(b"")]))
+            return got
+
+
+class Encoder:
+    """Ids of whole texts as the tokenizers library gives them, in little-endian integers of `width` bytes."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -62,30 +143,37 @@ class Encoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         with open(path, encoding="utf-8") as f:
-            self.by_chunk = drops_white_space(json.load(f))
+            spec = json.load(f)
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
-        self.keep = keep
-        self.known: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype=self.dtype).tobytes()
-                for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        texts = [x or "" for x in texts]
-        if not self.by_chunk:
-            return self._library(texts)
-        if len(self.known) > self.keep:
-            self.known.clear()
-        runs = [chunks(x) for x in texts]
-        known = self.known
-        fresh = list({x for r in runs for x in r if x not in known})
-        found = dict(zip(fresh, self._library(fresh), strict=True)) if fresh else {}
-        known.update((k, v) for k, v in found.items() if len(k) <= 64)
-        if all(len(k) <= 64 for k in found):
-            return [b"".join([known[x] for x in r]) for r in runs]
-        return [b"".join([known[x] if x in known else found[x] for x in r]) for r in runs]
+        end = spec["model"].get("end_of_word_suffix")
+        self.ends = np.array([bool(end) and t.endswith(end) for t, _ in sorted(self.tok.get_vocab().items(), key=lambda x: x[1])])
+        self.runs = RunCoder(self._learn, 1, has_words_and_marks(spec)) if drops_white_space(spec) else None
+
+    def _each(self, texts: list[str]) -> list[tuple[bytes]]:
+        return [(np.array(x.ids, dtype=self.dtype).tobytes(),) for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str], lettered: bool) -> list[tuple[bytes]]:
+        """Words of letters alone are encoded in one text each thousand: each gives one token that ends a word, its last."""
+        if not lettered or not self.ends.any():
+            return self._each(words)
+        out: list[tuple[bytes]] = []
+        groups = [words[i : i + 1000] for i in range(0, len(words), 1000)]
+        for group, got in zip(groups, self.tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(array("I", got.ids), dtype=self.dtype)
+            cut = ((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()
+            raw = ids.tobytes()
+            if len(cut) != len(group) or cut[-1] != len(raw):
+                out += self._each(group)
+            else:
+                out += [(raw[a:b],) for a, b in zip([0, *cut], cut)]
+        return out
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """A binary array of each text's ids; a null text has none."""
+        if self.runs:
+            return self.runs.code(texts)[0]
+        return pa.array([x for (x,) in self._each(["" if t is None else t for t in texts.to_pylist()])], pa.binary())
 
 
 _ENCODERS: dict[str, Encoder] = {}
