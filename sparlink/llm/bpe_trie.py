@@ -7,16 +7,18 @@ The last token is the one suffix of the prefix that merges leave apart from the
 from __future__ import annotations
 
 import json
+import sys
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, tokenizer_path
-from .tokens import chunks, drops_white_space
+from .tokens import RunCoder, drops_white_space, has_words_and_marks
 
 
 def byte_chars() -> list[str]:
@@ -30,7 +32,7 @@ def byte_chars() -> list[str]:
 class TrieBpe:
     """Encodes and decodes with a BPE file whose words are cut at white space."""
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -53,11 +55,9 @@ class TrieBpe:
         kinds = [x["type"] for x in norm.get("normalizers", [norm] if norm else [])]
         self.nfc, self.lower = "NFC" in kinds, "Lowercase" in kinds
         self.shown = dict(enumerate(byte_chars()))
-        self.apart: dict[tuple[int, int], bool] = {}
-        self.whole: dict[int, bool] = {}
+        self.apart: dict[int, bool] = {}
         self.symbols: dict[int, tuple[int, ...]] = {}
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.keep = keep
+        self.runs = RunCoder(self.learn, 2, has_words_and_marks(spec))
 
     # Merging as the vocabulary defines it: used on the few symbols of one or two tokens only.
     def _units(self, token: int) -> tuple[int, ...]:
@@ -84,52 +84,62 @@ class TrieBpe:
         for w in words:
             node = root
             for c in w[:-1]:
-                node = node.setdefault(c, {})
-            node[(w[-1],)] = None  # the edge that ends a word bears the end mark and is a symbol of its own
+                nxt = node.get(c)
+                if nxt is None:
+                    nxt = node[c] = {}
+                node = nxt
+            # The edge that ends a word bears the end mark and is a symbol of its own.
+            node.setdefault("", []).append(w)
         out: dict[str, list[int]] = {}
-        lasts: list[int] = []
+        lasts: list[int] = []  # by depth: the last token of the prefix's encoding, and its number of symbols
         sizes: list[int] = []
-        vocab, end, longest = self.vocab.get, self.end, self.longest
-        apart, whole = self.apart, self.whole
-        if len(apart) > 2_000_000:
-            apart.clear()
-        stack: list[tuple[str, object, int]] = [("", root, -1)]
+        last, end = self._last, self.end
+        if len(self.apart) > 2_000_000:
+            self.apart.clear()
+        stack: list[tuple[str, dict, int]] = [("", root, 0)]
         while stack:
             prefix, node, depth = stack.pop()
-            if depth >= 0:
-                del lasts[depth:], sizes[depth:]
-                n, done = depth + 1, node is None
-                text = prefix + end if done else prefix
-                for size in range(n if n < longest else longest, 0, -1):
-                    token = vocab(text[n - size :])
-                    if token is None:
-                        continue
-                    if size == n:
-                        fits = whole.get(token)
-                        if fits is None:
-                            fits = whole[token] = self._merged(self._units(token)) == [token]
-                    else:
-                        before = lasts[n - size - 1]
-                        fits = apart.get((before, token))
-                        if fits is None:
-                            fits = apart[before, token] = self._merged(self._units(before) + self._units(token)) == [before, token]
-                    if fits:
-                        break
-                else:
-                    raise ValueError(f"the vocabulary has no token for {prefix!r}")
+            if depth:
+                del lasts[depth - 1 :], sizes[depth - 1 :]
+                token, size = last(prefix, depth, lasts, sizes)
                 lasts.append(token)
                 sizes.append(size)
-                if done:
-                    ids, at = [], n
+            for edge, child in node.items():
+                if edge:
+                    stack.append((prefix + edge, child, depth + 1))
+                    continue
+                for w in child:
+                    token, at = last(w + end, depth + 1, lasts, sizes)
+                    ids, at = [token], depth + 1 - at
                     while at:
                         ids.append(lasts[at - 1])
                         at -= sizes[at - 1]
-                    out[prefix] = ids[::-1]
-                    continue
-            for edge, child in node.items():
-                stack.append((prefix + edge[0], child, depth + 1))
+                    ids.reverse()
+                    out[w] = ids
         return out
 
+    def _last(self, text: str, n: int, lasts: list[int], sizes: list[int]) -> tuple[int, int]:
+        """The last token of a prefix of n symbols and its size. One suffix only stays apart from what stands before it,
+        so the order of trying doesn't matter; mostly it is the last symbol alone or with the token before it."""
+        vocab, apart = self.vocab.get, self.apart
+        likely = sizes[n - 2] + 1 if n > 1 else 1
+        for size in (likely, *range(1, likely), *range(likely + 1, min(n, self.longest) + 1)):
+            token = vocab(text[n - size :])
+            if token is not None:
+                key = (lasts[n - size - 1] + 1) << 20 | token if size < n else token
+                fits = apart.get(key)
+                if fits is None:
+                    units = self._units(token)
+                    if size == n:
+                        fits = self._merged(units) == [token]
+                    else:
+                        before = lasts[n - size - 1]
+                        fits = self._merged(self._units(before) + units) == [before, token]
+                    apart[key] = fits
+                if fits:
+                    return token, size
+        raise ValueError(f"the vocabulary has no token for {text!r}")
+
     def _pieces(self, chunk: str) -> list[str | int]:
         """A chunk's words in the vocabulary's characters; ids stand for special tokens."""
         parts = self.specials.split(chunk) if self.specials else [chunk]
@@ -144,33 +154,27 @@ class TrieBpe:
                 out += ["".join(map(self.shown.__getitem__, w.encode())) for w in self.pattern.findall(p)]
         return out
 
-    def learn(self, fresh: Iterable[str]) -> dict[str, tuple[bytes, bytes]]:
-        """By chunk: its ids as little-endian 32-bit integers and its decoded text."""
-        cut = {x: self._pieces(x) for x in fresh}
-        ids = self.encode_words({w for p in cut.values() for w in p if isinstance(w, str)})
-        out = {}
-        for chunk, pieces in cut.items():
-            got = [i for w in pieces for i in ((w,) if isinstance(w, int) else ids[w])]
-            out[chunk] = np.array(got, dtype="<u4").tobytes(), self.decode(got).encode()
+    def learn(self, words: list[str], lettered: bool) -> list[tuple[bytes, bytes]]:
+        """Of each distinct word: its ids as little-endian 32-bit integers, and its tokens, each before a space."""
+        cut = [[x] if lettered and x.isascii() else self._pieces(x) for x in words]
+        ids = self.encode_words({w for p in cut for w in p if isinstance(w, str)})
+        text, out = self.text, []
+        for pieces in cut:
+            got = ids[pieces[0]] if len(pieces) == 1 and isinstance(pieces[0], str) else [i for w in pieces for i in ((w,) if isinstance(w, int) else ids[w])]
+            own = array("I", got)
+            if sys.byteorder == "big":
+                own.byteswap()
+            out.append((own.tobytes(), "".join([text[i] + " " for i in got]).encode()))
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
         """Tokens joined by a space, as a file without a decoder has it; special tokens stay."""
         return " ".join(self.text[i] for i in ids if i in self.text)
 
-    def codec(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
-        """Of each whole text: its ids and the decoded text. Memory is bounded: long chunks aren't kept."""
-        runs = [chunks(x or "") for x in texts]
-        if len(self.known) > self.keep:
-            self.known.clear()
-        known = self.known
-        found = self.learn({x for r in runs for x in r if x not in known})
-        known.update((k, v) for k, v in found.items() if len(k) <= 64)
-        out = []
-        for r in runs:
-            got = [known.get(x) or found[x] for x in r]
-            out.append((b"".join([x[0] for x in got]), b" ".join([x[1] for x in got if x[1]])))
-        return out
+    def codec(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Of each whole text: its ids and the decoded text."""
+        ids, text = self.runs.code(texts)
+        return ids, pc.ascii_rtrim(text.cast(pa.string()), " ")
 
 
 _CODECS: dict[str, TrieBpe] = {}
@@ -195,11 +199,10 @@ def bpe_encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            for b in slices(batch):
-                got = own.codec(b.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array([len(x) // 4 for x, _ in got], pa.int64()), pa.array([x for x, _ in got], pa.binary()),
-                     pa.array([x for _, x in got], pa.binary()).cast(pa.string())], names=["id", "n_tokens", "ids", "decoded"])
+            for b in slices(batch, 16 << 20):
+                ids, text = own.codec(b.column(1))
+                n = pc.divide(pc.binary_length(ids).cast(pa.int64()), 4)
+                yield pa.RecordBatch.from_arrays([b.column(0), n, ids, text], names=["id", "n_tokens", "ids", "decoded"])
 
     out = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, f"id {kind}, n_tokens long, ids binary, decoded string")
