@@ -5,8 +5,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_trie import bpe_encode_decode
-from .common import new_dir, tokenizer_path
+from .common import new_dir, tokenizer_path, utf8
+from .deleted_lm import lm_scores
+from .importance import importance_resample
 from .line_dedup import drop_repeated_lines
+from .media_sniff import sniffed, text_payload, wav_of
 from .packing import pack
 from .quality_rules import quality_rules
 from .simhash import near_duplicates
@@ -34,11 +37,40 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def quality_targets(labels: DataFrame) -> DataFrame:
+    """(doc_id, target): labelled documents of good quality that are not toxic, against those of bad quality."""
+    good = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 0 or t = 0")
+    return good.select("doc_id", (F.col("q") == 1).alias("target"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = importance_resample(docs, quality_targets(_table(spark, sf_dir, "labels")))
+    return got.select("row.doc_id", "n_features", "log_weight", "kept")
+
+
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    stored = docs.select("doc_id", F.octet_length(utf8(F.col("text"))).cast("long").alias("n_bytes"), F.lit("application/octet-stream").alias("declared"), wav_of(text_payload(F.col("text"))).alias("media"))
+    stored = stored.withColumn("media_bytes", F.octet_length("media").cast("long")).withColumn("media_sha256", F.sha2("media", 256))
+    got = sniffed(stored, "media", "declared")
+    n = F.octet_length("samples").cast("long")
+    tail = F.crc32(F.expr("substring(samples, -64, 64)"))
+    feature = F.concat_ws(";", "media_type", F.concat(F.lit("parts="), F.size("parts")), F.concat(F.lit("carved="), F.array_join(F.transform("parts", lambda x: x["type"]), ",")), F.concat(F.lit("seconds="), n / F.lit(8000.0)))
+    return got.select("row.doc_id", "row.n_bytes", n.alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"), tail.alias("tail_crc32"),
+                      "row.media_bytes", "row.media_sha256", feature.alias("feature"), "corrected")
+
+
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = write_token_shards(_table(spark, sf_dir, "documents"), new_dir(spark, "op6"), path=tokenizer_path(), end_id=1)
     return read_documents(spark, done)
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = lm_scores(_table(spark, sf_dir, "documents"))
+    return got.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     got = drop_repeated_lines(docs, "text", min_docs=10, least=1)
@@ -55,7 +87,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op4_warc": op4_warc, "op8_line_dedup": op8_line_dedup, "op10_simhash": op10_simhash, "op2_bpe": op2_bpe, "op6_token_ids": op6_token_ids, "op9_packing": op9_packing}
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules, "op2_bpe": op2_bpe, "op3_quality_classifier": op3_quality_classifier, "op4_warc": op4_warc, "op5_media": op5_media,
+    "op6_token_ids": op6_token_ids, "op7_lm": op7_lm, "op8_line_dedup": op8_line_dedup, "op9_packing": op9_packing, "op10_simhash": op10_simhash,
+}
 OP8_SQL = """
 with rows as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
 lines as (select r, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from rows),
