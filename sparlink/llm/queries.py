@@ -91,6 +91,23 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules, "op2_bpe": op2_bpe, "op3_quality_classifier": op3_quality_classifier, "op4_warc": op4_warc, "op5_media": op5_media,
     "op6_token_ids": op6_token_ids, "op7_lm": op7_lm, "op8_line_dedup": op8_line_dedup, "op9_packing": op9_packing, "op10_simhash": op10_simhash,
 }
+OP1_SQL = r"""
+with d as (select row_number() over () as r, doc_id, source, coalesce(text, '') as text from documents),
+w as (select *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from d),
+win as (select r, unnest(range(1, len(ws) - 1)) as i, ws from w where len(ws) >= 3),
+tri as (select r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] as g from win),
+rep as (select r, i from (select r, i, count(*) over (partition by r, g) as n from tri) where n > 1),
+cov as (select r, count(distinct p) as n from (select r, unnest([i, i + 1, i + 2]) as p from rep) group by r),
+m as (select w.r, doc_id, source, len(ws)::bigint as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::bigint as word_chars,
+  (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(cov.n, 0)::bigint as n_repeat_words from w left join cov using (r)),
+b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m),
+h as (select source, count(*) as n, count(*) filter (where base_failed) as f from b group by source),
+pr as (select sum(f) / sum(n) as mean, avg(f / n) as mr, var_pop(f / n) as v from h),
+st as (select mean, least(greatest(case when v > 0 then mr * (1 - mr) / v - 1 else 1e6 end, 1), 1e6) as s from pr)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and (h.f + mean * s) / (h.n + s) <= 0.8 as kept
+from b join h on b.source is not distinct from h.source, st
+"""
+
 OP8_SQL = """
 with rows as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
 lines as (select r, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from rows),
@@ -111,4 +128,4 @@ select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 an
 from f
 """
 
-ORACLES: dict[str, str] = {"op4_warc": OP4_SQL, "op8_line_dedup": OP8_SQL}
+ORACLES: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op4_warc": OP4_SQL, "op8_line_dedup": OP8_SQL}
