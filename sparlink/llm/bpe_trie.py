@@ -11,6 +11,7 @@ import sys
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,6 +30,20 @@ def byte_chars() -> list[str]:
     return [chr(b) if b in own else chr(next(hidden)) for b in range(256)]
 
 
+@lru_cache
+def category_ranges(kind: str) -> str:
+    """The ranges of characters of a general category (its first letter), as the inside of a class in brackets."""
+    own = [unicodedata.category(chr(c))[0] == kind for c in range(0x110000)] + [False]
+    out, start = [], None
+    for c, is_own in enumerate(own):
+        if is_own and start is None:
+            start = c
+        elif not is_own and start is not None:
+            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
+            start = None
+    return "".join(out)
+
+
 class TrieBpe:
     """Encodes and decodes with a BPE file whose words are cut at white space."""
 
@@ -50,7 +65,10 @@ class TrieBpe:
         self.text |= {i: t for t, i in self.added.items()}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         pre = spec["pre_tokenizer"]
-        self.pattern = regex.compile(pre.get("pretokenizers", [pre])[0]["pattern"]["Regex"])
+        split = pre.get("pretokenizers", [pre])[0]["pattern"]["Regex"]
+        for kind in "LN":  # as Python's Unicode tables have them; the regex module's differ where nothing is assigned
+            split = split.replace(rf"\p{{{kind}}}", category_ranges(kind))
+        self.pattern = regex.compile(split)
         norm = spec.get("normalizer") or {}
         kinds = [x["type"] for x in norm.get("normalizers", [norm] if norm else [])]
         self.nfc, self.lower = "NFC" in kinds, "Lowercase" in kinds
