@@ -66,9 +66,13 @@ def normalize(text: Column, domains: Sequence[str] = tuple(W.DOMAINS), exact: bo
     return squeeze(F.regexp_replace(F.replace(low, F.lit("@"), F.lit(" ")), r"[^a-z0-9\s]", " "))
 
 
+# Fixed value: the marks that count as spaces there.
+PUNCTUATION = r"""[&@#.!?*()\[\]{};:,"'\\/\-_+=|~`]"""
+
+
 def normalize_punctuation(text: Column) -> Column:
     """Lower-cased ASCII with listed marks as spaces; other symbols stay."""
-    return squeeze(F.regexp_replace(F.lower(fold_ascii(blank(text))), r"""[.,;:!?'"()\[\]{}\-_/\\|]""", " "))
+    return squeeze(F.regexp_replace(F.lower(fold_ascii(blank(text))), PUNCTUATION, " "))
 
 
 def tokens(norm: Column) -> Column:
@@ -247,3 +251,76 @@ def soundex_code(token: Column) -> Column:
     chars = F.split(digits, "")
     kept = F.filter(F.transform(chars, lambda c, i: F.when((i > 0) & (c != "0") & (c != F.get(chars, i - 1)), c)), lambda c: c.isNotNull())
     return F.when(t.rlike("^[A-Z]+$"), F.rpad(F.concat(F.substring(t, 1, 1), F.array_join(F.slice(kept, 1, 3), "")), 4, "0")).otherwise("")
+
+
+def composite_core(name: Column) -> Column:
+    """Abbreviations spelled out, then legal forms and generic words left out; all of it where nothing is left."""
+    table, out = _mapped(W.COMPOSITE_ABBREVIATIONS), {*W.COMPOSITE_LEGAL, *W.COMPOSITE_GENERIC}
+    full = F.array_join(F.transform(tokens(normalize_punctuation(name)), lambda x: F.coalesce(table[x], x)), " ")
+    core = F.array_join(F.filter(F.split(full, " "), lambda x: ~x.isin(*sorted(out))), " ")
+    return F.when(core != "", core).otherwise(full)
+
+
+def composite_aliases(name: Column) -> Column:
+    """The parts of the raw name around alias words, the first one too, of three letters and more."""
+    parts = F.split(blank(name), r"(?i)\b(?:" + "|".join(W.COMPOSITE_ALIAS_WORDS) + r")\b")
+    return F.filter(F.transform(parts, lambda x: normalize_punctuation(x)), lambda x: F.length(x) > 2)
+
+
+def composite_country(address: Column, *fields: Column) -> Column:
+    """The code of the first field that isn't empty, else of the first country name found in the address."""
+    given = F.coalesce(*(F.nullif(normalize_punctuation(f), F.lit("")) for f in fields))
+    inside = F.lit("")
+    for name, code in reversed(W.COMPOSITE_COUNTRIES.items()):
+        inside = F.when(normalize_punctuation(address).contains(name), code).otherwise(inside)
+    return F.when(given.isNotNull(), F.coalesce(_mapped(W.COMPOSITE_COUNTRIES)[given], F.substring(given, 1, 2))).otherwise(inside)
+
+
+def composite_fields(address: Column, postal: Column, phone: Column) -> dict[str, Column]:
+    """Postal code of five characters, leading street number, last ten digits of the phone."""
+    return {"postal": F.substring(F.replace(normalize_punctuation(postal), F.lit(" "), F.lit("")), 1, 5), "street": F.regexp_extract(normalize_punctuation(address), r"^(\d+)", 1),
+            "phone": F.right(F.regexp_replace(blank(phone), r"[^\d]", ""), F.lit(10))}
+
+
+def address_clean_parts(norm_address: Column) -> tuple[Column, Column]:
+    """Postal code and number as the first digits of the cleaned address; leading zeros of the number go."""
+    clean = clean_address(norm_address)
+    return F.regexp_extract(clean, r"\b(\d{5,6})\b", 1), F.regexp_extract(clean, r"\b0*(\d{1,6})\b", 1)
+
+
+def address_raw_parts(address: Column) -> tuple[Column, Column]:
+    """From the raw text: the last number of five or six digits is the postal code, unless it is the only one and leads;
+    the number follows a word for one, else leads, else is the first of one to four digits, the postal code left out.
+
+    Digits and word ends are Unicode's, as the raw text isn't folded."""
+    a = blank(address)
+    last = F.regexp_extract(a, r"(?U)^.*\b(\d{5,6})\b", 1)
+    several = F.size(F.regexp_extract_all(a, F.lit(r"(?U)\b(\d{5,6})\b"), F.lit(1))) > 1
+    postal = F.when(several | ~a.rlike(r"(?U)^\s*\d{5,6}\b"), last).otherwise("")
+    rest = F.when(postal != "", F.regexp_replace(a, r"(?U)^(.*)\b\d{5,6}\b", "$1 ")).otherwise(a)
+    word = F.lower(F.regexp_extract(rest, r"(?Ui)\b(?:no\.?|h\.?no\.?|#|plot|flat|door|suite|bldg)\s*(\d{1,5}[a-z]?)\b", 1))
+    lead = F.lower(F.regexp_extract(rest, r"(?Ui)^\s*(\d{1,5}[a-z]?)\b", 1))
+    return postal, F.when(word != "", word).when(lead != "", lead).otherwise(F.regexp_extract(rest, r"(?U)\b(\d{1,4})\b", 1))
+
+
+def street_number(norm_address: Column) -> Column:
+    """A leading number, else one after a word for it, else one before a street word."""
+    lead = F.regexp_extract(norm_address, r"^(\d+)\b", 1)
+    word = F.regexp_extract(norm_address, r"\b(?:no|hno|plot|shop|flat|door)\s*(\d+)\b", 1)
+    street = F.regexp_extract(norm_address, r"\b(\d{1,5})\s+(?:[a-z]+\s+)?(?:st|street|rd|road|ave|avenue|blvd|lane|dr|drive|way|court|ct|boulevard|rue|all|imp)\b", 1)
+    return F.when(lead != "", lead).when(word != "", word).otherwise(street)
+
+
+def _cut(w: Column, n: int):
+    return lambda i: F.substring(w, i, F.lit(n))
+
+
+def word_grams(text: Column, least: int = 3, most: int = 4) -> Column:
+    """All n-grams within words, each word between two spaces; a word shorter than n is one gram, once."""
+    def of(word: Column) -> Column:
+        w = F.concat(F.lit(" "), word, F.lit(" "))
+        parts = [F.when((F.length(w) >= n) if n > least else F.lit(True), F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - (n - 1), F.lit(1))), _cut(w, n)))
+                 .otherwise(F.array().cast("array<string>")) for n in range(least, most + 1)]
+        return F.concat(*parts)
+
+    return F.flatten(F.transform(tokens(text), of))

@@ -56,6 +56,19 @@ republic of india=in, france=fr, republique francaise=fr, french republic=fr, uk
 england=gb, britain=gb, scotland=gb, wales=gb, germany=de, deutschland=de, bundesrepublik deutschland=de, canada=ca
 australia=au, commonwealth of australia=au""")
 
+# The profile of composite scores; legal forms, generic words, abbreviations and countries of its own.
+COMPOSITE_LEGAL = """inc incorporated llc corp corporation ltd limited co company dba lp pllc pvt private llp opc lnc 1nc sarl sas sa eurl sci snc
+sasu gie ei sep gmbh ag kg ohg gbr ug plc bv nv ab oy pty""".split()
+COMPOSITE_GENERIC = """center services solutions technologies group holdings enterprises international global consulting associates management
+products systems partners digital developers allied ventures industries commercial logistics trading retail marketing agency care
+health works labs studio network networks""".split()
+COMPOSITE_ABBREVIATIONS = _pairs("""st=saint, intl=international, natl=national, corp=corporation, dept=department, mfg=manufacturing
+svcs=services, svc=service, tech=technology, techs=technologies, mgmt=management, assoc=associates, univ=university, hosp=hospital
+med=medical, fin=financial, ins=insurance, grp=group, hdg=holdings, hdgs=holdings""")
+COMPOSITE_COUNTRIES = _pairs("""usa=us, united states=us, america=us, u.s.a=us, u.s=us, india=in, ind=in, uk=gb, united kingdom=gb
+great britain=gb, france=fr, germany=de, canada=ca, australia=au, china=cn""")
+COMPOSITE_ALIAS_WORDS = ["dba", r"d\.b\.a\.?", "doing business as", "formerly", "f/k/a", "t/a", "trading as", "also known as", "aka"]
+
 # Suffixes of domains, in the order in which they are tried.
 DOMAINS = ".com .in .org .net .co .io .fr .co.uk .eu .de .ca .au".split()
 

@@ -4,20 +4,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: a round's result survives the loss of executors, and lineage ends."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new place in the folder that executors share; a local one only where none is set."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = f"file://{tempfile.mkdtemp(prefix='sparlink-')}"
         spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/round-{uuid.uuid4().hex[:12]}"
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: a round's result survives the loss of executors, and lineage ends."""
+    path = shared_path(df.sparkSession, "round")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:

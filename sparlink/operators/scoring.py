@@ -70,6 +70,16 @@ def fuzzy_tier(profile: Profile, max_name: Column, sim: Column) -> Column:
     c = F.col
     ev1 = c("pm") | c("nm") | (c("overlap") >= 1)
     s = F.coalesce(sim, F.lit(-1.0))
+    brand = S.overlap(c("s_brand"), c("t_brand")) > 0
+    if profile.tiers == "strict":  # without the 0.80 and the edit tier; the weaker script tier needs the postal code
+        script = F.when((c("overlap") >= 2) & (s >= 0.80), 0.88).when(c("pm") & (c("overlap") >= 1) & (s >= 0.88), 0.86).otherwise(0.0)
+        tier = F.when((c("s_non_ascii") | c("t_non_ascii")) & c("nm"), script).when(max_name >= 0.88, F.when(ev1 | ~c("both_addr"), 0.87).otherwise(0.0))
+        return tier.when(max_name >= 0.72, F.when(c("pm") & (c("nm") | (c("overlap") >= 1)), 0.84).when(c("nm") & (c("overlap") >= 1), 0.82).otherwise(0.0)).otherwise(0.0)
+    if profile.tiers == "brand":  # a higher first limit and a moderate tier that needs a common brand or a strong address
+        neither = ~c("has_s") & ~c("has_t") & (max_name >= 0.92)
+        tier = F.when(c("nm") & (c("overlap") >= 2), 0.89).when(max_name >= 0.86, F.when(ev1 | neither, 0.87).otherwise(0.0))
+        moderate = F.when(c("pm") | c("nm"), 0.83).when((c("overlap") >= 2) & (s >= 0.80), 0.81).otherwise(0.0)
+        return tier.when((max_name >= 0.80) & (brand | (c("nm") & (c("overlap") >= 2))), moderate).otherwise(0.0)
     script = F.when((c("overlap") >= 2) & (s >= 0.80), 0.88).when((c("overlap") >= 1) & (s >= 0.90), 0.86).otherwise(0.0)
     tier = F.when((c("s_non_ascii") | c("t_non_ascii")) & c("nm"), script)
     tier = tier.when(max_name >= 0.88, F.when(ev1 | ~c("both_addr"), 0.87).otherwise(0.0))
@@ -78,10 +88,14 @@ def fuzzy_tier(profile: Profile, max_name: Column, sim: Column) -> Column:
     moderate = F.when(c("pm") & (c("nm") | (c("overlap") >= 1)), 0.84).when(c("nm") & (c("overlap") >= 1), 0.82).when((c("overlap") >= 2) & (s >= 0.82), 0.80).otherwise(0.0)
     tier = tier.when(max_name >= 0.72, moderate)
     if profile.moderate_partial:
-        near = F.when(c("pm") & (c("nm") | (c("overlap") >= 1)), 0.83).when(c("nm") & (c("overlap") >= 1), 0.82).otherwise(0.0)
-        tier = tier.when((max_name >= 0.60) & (c("f.partial") >= 0.82), near)
+        near = F.when(c("pm") & c("nm"), 0.83).when(c("pm") & (c("overlap") >= 1), 0.82).otherwise(0.0)
+        tier = tier.when((max_name >= 0.60) & (c("f.partial") >= profile.partial_from), near)
     tier = tier.otherwise(0.0)
-    return F.when((tier < 0.80) & S.one_edit(c("s_core"), c("t_core")) & ev1, 0.83).otherwise(tier)
+    tier = F.when((tier < 0.80) & S.one_edit(c("s_core"), c("t_core")) & ev1, 0.83).otherwise(tier)
+    if profile.tiers == "tightened":  # what the address alone carries goes if the lines of business clash or names differ
+        weak = (tier >= 0.81) & (max_name < 0.60) & (category_clash() | (tier < 0.87) & (max_name < 0.55))
+        tier = F.when(weak, 0.0).otherwise(tier)
+    return tier
 
 
 def _similarity(names: tuple[str, ...]) -> Column:

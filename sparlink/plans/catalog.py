@@ -4,7 +4,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
@@ -21,7 +21,7 @@ from ..operators import tfidf as TF
 from ..operators.prepare import prepare
 from ..sources import entities as E
 from . import resolution as RS
-from .profiles import EXACT, PROFILES, V2, V6
+from .profiles import EXACT, PROFILES, V6
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 C = F.col
@@ -160,6 +160,11 @@ _text("address_parts", postal=lambda: C("postal"), num=lambda: C("num"), clean=l
 _text("address_parts_simple", postal=lambda: F.regexp_extract("address", r"(\d{5,6})", 1), num=lambda: F.regexp_extract("address", r"\b(\d{1,5})\b", 1),
       first_digits=lambda: F.regexp_replace(F.regexp_extract("norm_addr", r"(\d+)", 1), "^0+", ""), street=lambda: F.regexp_extract("address", r"^\s*(\d+)", 1))
 _text("address_v5", postal=lambda: F.regexp_extract("norm_addr", r"\b(\d{5})\b", 1), tokens=lambda: _joined(F.slice(F.filter(X.tokens(C("norm_addr")), lambda x: ~x.isin(*X.W.generic_address_words()) & ~x.rlike(r"^\d+$") & (F.length(x) >= 3)), 1, 8)))
+_text("composite_text", core=lambda: X.composite_core(C("name")), aliases=lambda: _joined(X.composite_aliases(C("name"))), cc=lambda: X.composite_country(C("address"), C("country")),
+      **{k: (lambda k=k: X.composite_fields(C("address"), C("postal"), F.concat(F.lit("+1 (555) 010-"), (1000 + C("doc_id")).cast("string")))[k]) for k in ("street", "postal", "phone")})
+_text("address_clean_parts", postal=lambda: X.address_clean_parts(C("norm_addr"))[0], num=lambda: X.address_clean_parts(C("norm_addr"))[1])
+_text("address_raw_parts", postal=lambda: X.address_raw_parts(C("address"))[0], num=lambda: X.address_raw_parts(C("address"))[1])
+_text("street_number", num=lambda: X.street_number(C("norm_addr")))
 _text("phone_tokens", phones=lambda: _joined(X.phone_tokens(F.concat("name", F.lit(" +1 (555) 010-"), (1000 + C("doc_id")).cast("string")))))
 _text("prefix_key", p3=lambda: C("prefix3"), p4=lambda: C("prefix4"))
 _text("first_token_prefix", p5=lambda: X.first_token_prefix(C("norm"), 5, 4), p4=lambda: X.first_token_prefix(C("norm"), 4, 4), p3=lambda: X.first_token_prefix(C("norm"), 3, 1))
@@ -231,6 +236,14 @@ def route_tfidf_topk(f: Fixture) -> DataFrame:
     return top.select(C("q").alias("s1_id"), C("t").alias("target_id"), F.round("cos", 6).alias("cos"), _long(C("rank")).alias("rank"))
 
 
+@query
+def tfidf_word_grams(f: Fixture) -> DataFrame:
+    grams = X.word_grams(C("norm"))
+    i = TF.gram_idf(f.targets, grams, 2, 0.3)
+    top = TF.cosine_top(TF.vectors(f.s1, "entity_id", grams, i), TF.vectors(f.targets, "entity_id", grams, i), 0.0, 40)
+    return top.select(C("q").alias("s1_id"), C("t").alias("target_id"), F.round("cos", 6).alias("cos"), _long(C("rank")).alias("rank"))
+
+
 @query
 def needed_keys(f: Fixture) -> DataFrame:
     routes = list(EXACT.caps)
@@ -647,6 +660,44 @@ def sweep_rules(f: Fixture) -> DataFrame:
     return _swept(L.sweep(f.ids, f.gold, f.exact.scored, s, keep, ("score", "nm", "pm")), ["cutoff", "min_len"])
 
 
+@query
+def gate_three_way(f: Fixture) -> DataFrame:
+    """Thresholds by source and one for the entity, which takes its claims away before owners are found."""
+    s = L.grid(f.spark, tau2=[0.82, 0.94], tau3=[0.9, 0.94], tau_gate=[0.82, 0.93])
+    best = f.exact.scored.groupBy("s1_id").agg(F.max("score").alias("best"))
+    keep = (C("score") >= F.when(C("target_id").startswith("S2"), C("tau2")).otherwise(C("tau3"))) & (C("best") >= C("tau_gate"))
+    return _swept(L.sweep(f.ids, f.gold, f.exact.scored.join(best, "s1_id"), s, keep, ("score",)), ["tau2", "tau3", "tau_gate"])
+
+
+@query
+def order_check(f: Fixture) -> DataFrame:
+    """Lines of a result whose ids aren't the source's in order: here one id is missing."""
+    w = Window.orderBy("s1_id")  # places of a fixture's lines; files bring theirs
+    source = f.ids.withColumn("line_no", F.row_number().over(w).cast("long"))
+    gone = source.where("line_no = 6").select("s1_id")
+    result = f.ids.join(gone, "s1_id", "left_anti").withColumn("line_no", F.row_number().over(w).cast("long"))
+    return A.order_matches(result, source)
+
+
+@query
+def report(f: Fixture) -> DataFrame:
+    """Audit, sweep and recall as one row of JSON."""
+    m = M.macro_f05(M.entity_f05(f.ids, f.gold, f.exact.matches)).select(F.struct("*").alias("metrics"))
+    r = M.blocking_recall(M.entity_counts(f.ids, f.gold, f.exact.candidates)).select(F.struct("*").alias("blocking"))
+    return m.join(F.broadcast(r)).select(F.to_json(F.struct("metrics", "blocking")).alias("report"))  # one row each
+
+
+@query
+def model_round_trip(f: Fixture) -> DataFrame:
+    """Scores of a model that was saved and loaded again, beside those of the model itself."""
+    rows, cols = _learned(f)
+    rows = rows.persist()
+    model = L.train(rows, cols, trees=3, depth=3)
+    again = L.saved_and_loaded(model, G.shared_path(f.spark, "model"))
+    a = L.predict(model, rows).select("s1_id", "target_id", "prob")
+    return a.join(L.predict(again, rows, "prob_loaded").select("s1_id", "target_id", "prob_loaded"), ["s1_id", "target_id"])
+
+
 @query
 def sweep_best(f: Fixture) -> DataFrame:
     s = L.grid(f.spark, tau=[0.82, 0.9, 0.92, 0.94, 0.95])

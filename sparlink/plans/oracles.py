@@ -50,6 +50,10 @@ def norm(x: str, domains=W.DOMAINS) -> str:
     return squeeze(rf"regexp_replace(replace({low}, '@', ' '), '[^a-z0-9\s]', ' ', 'g')")
 
 
+def punct(x: str) -> str:
+    return squeeze(rf"""regexp_replace(lower({fold(x)}), '[&@#.!?*()\[\]{{}};:,"''\\/\-_+=|~`]', ' ', 'g')""")
+
+
 def toks(x: str) -> str:
     return f"list_filter(string_split({x}, ' '), lambda v: v <> '')"
 
@@ -212,7 +216,7 @@ _add("repair_candidates", "select s1_id, target_id from cand where len(routes) >
 _add("fold_map", "select s1_id, cast(length(s1_id) % 5 as bigint) as fold from ids")
 _rec("normalize_text", norm="norm", norm_addr="norm_addr")
 _rec("normalize_basic", norm=basic("name"))
-_rec("normalize_punctuation", norm=squeeze(f"regexp_replace(lower({fold('name')}), '[.,;:!?''\"()\\[\\]{{}}\\-_/\\\\|]', ' ', 'g')"))
+_rec("normalize_punctuation", norm=punct("name"))
 _rec("normalize_nine_domains", norm=norm("name", [d for d in W.DOMAINS if d not in (".de", ".ca", ".au")]))
 _rec("core_tokens", toks=pipe("core_toks"), short_list=pipe(without("toks", W.LEGAL_FEATURES)))
 _rec("core_name", core="core")
@@ -227,6 +231,22 @@ _rec("address_parts", postal="postal", num="num", clean="clean_addr", dist=pipe(
 _rec("address_parts_simple", postal=r"regexp_extract(address, '(\d{5,6})', 1)", num=r"regexp_extract(address, '\b(\d{1,5})\b', 1)", first_digits=r"regexp_replace(regexp_extract(norm_addr, '(\d+)', 1), '^0+', '')",
      street=r"regexp_extract(address, '^\s*(\d+)', 1)")
 _rec("address_v5", postal=r"regexp_extract(norm_addr, '\b(\d{5})\b', 1)", tokens=pipe(f"list_slice(list_filter(atoks, lambda v: length(v) >= 3 and not list_contains({_list(W.generic_address_words())}, v) and not regexp_matches(v, '^\\d+$')), 1, 8)"))
+_CFULL = f"array_to_string(list_transform({toks(punct('name'))}, lambda v: coalesce({_map(W.COMPOSITE_ABBREVIATIONS)}[v], v)), ' ')"
+_CCORE = f"array_to_string({without(f'string_split({_CFULL}, chr(32))', sorted({*W.COMPOSITE_LEGAL, *W.COMPOSITE_GENERIC}))}, ' ')"
+_CIN = "case " + " ".join(f"when contains({punct('address')}, '{k}') then '{v}'" for k, v in W.COMPOSITE_COUNTRIES.items()) + " else '' end"
+_rec("composite_text", core=f"case when {_CCORE} <> '' then {_CCORE} else {_CFULL} end", aliases=pipe(f"list_filter(list_transform(string_split_regex(name, '(?i)\\b(?:{'|'.join(W.COMPOSITE_ALIAS_WORDS)})\\b'), lambda v: {punct('v')}), lambda v: length(v) > 2)"),
+     cc=f"case when {punct('country')} <> '' then coalesce({_map(W.COMPOSITE_COUNTRIES)}[{punct('country')}], substr({punct('country')}, 1, 2)) else {_CIN} end",
+     street=f"regexp_extract({punct('address')}, '^(\\d+)', 1)", postal="substr(postal, 1, 5)", phone="right(regexp_replace('+1 (555) 010-' || (1000 + doc_id)::varchar, '[^0-9]', '', 'g'), 10)")
+_rec("address_clean_parts", postal="regexp_extract(clean_addr, '\\b(\\d{5,6})\\b', 1)", num="regexp_extract(clean_addr, '\\b0*(\\d{1,6})\\b', 1)")
+_LAST = r"regexp_extract(address, '^.*\b(\d{5,6})\b', 1)"
+_POST = rf"(case when len(regexp_extract_all(address, '\b\d{{5,6}}\b')) > 1 or not regexp_matches(address, '^\s*\d{{5,6}}\b') then {_LAST} else '' end)"
+_REST = rf"(case when {_POST} <> '' then regexp_replace(address, '^(.*)\b\d{{5,6}}\b', '\1 ') else address end)"
+_WORDNO = rf"lower(regexp_extract({_REST}, '(?i)\b(?:no\.?|h\.?no\.?|#|plot|flat|door|suite|bldg)\s*(\d{{1,5}}[a-z]?)\b', 1))"
+_LEADNO = rf"lower(regexp_extract({_REST}, '(?i)^\s*(\d{{1,5}}[a-z]?)\b', 1))"
+_rec("address_raw_parts", postal=_POST, num=rf"case when {_WORDNO} <> '' then {_WORDNO} when {_LEADNO} <> '' then {_LEADNO} else regexp_extract({_REST}, '\b(\d{{1,4}})\b', 1) end")
+_STREETNO = r"regexp_extract(norm_addr, '\b(\d{1,5})\s+(?:[a-z]+\s+)?(?:st|street|rd|road|ave|avenue|blvd|lane|dr|drive|way|court|ct|boulevard|rue|all|imp)\b', 1)"
+_AFTER = r"regexp_extract(norm_addr, '\b(?:no|hno|plot|shop|flat|door)\s*(\d+)\b', 1)"
+_rec("street_number", num=rf"case when regexp_extract(norm_addr, '^(\d+)\b', 1) <> '' then regexp_extract(norm_addr, '^(\d+)\b', 1) when {_AFTER} <> '' then {_AFTER} else {_STREETNO} end")
 _rec("phone_tokens", phones=pipe(phones("name || ' +1 (555) 010-' || (1000 + doc_id)::varchar")))
 _rec("prefix_key", p3="prefix3", p4="prefix4")
 _rec("first_token_prefix", **{f"p{n}": f"case when length(coalesce(core_toks[1], '')) >= {least} then substr(core_toks[1], 1, {n}) else '' end" for n, least in ((5, 4), (4, 4), (3, 1))})
@@ -284,6 +304,10 @@ gw as (select id, source, gram, w / sqrt(sum(w * w) over (partition by id)) as w
 gc as (select a.id as s1_id, b.id as target_id, sum(a.w * b.w) as cos from gw a join gw b using (gram) where a.source = 1 and b.source > 1 group by 1, 2),
 gr as (select *, row_number() over (partition by s1_id order by round(cos, 9) desc, target_id) as rank from gc where cos > 0.15)"""
 _add("route_tfidf_topk", "select s1_id, target_id, round(cos, 6) as cos, rank from gr where rank <= 20", _GRAMS)
+_WORDGRAMS = "list_concat(list_transform(range(1, greatest(length(v), 1) + 1), lambda i: substr(' ' || v || ' ', i, 3)), list_transform(range(1, length(v)), lambda i: substr(' ' || v || ' ', i, 4)))"
+_add("tfidf_word_grams", "select s1_id, target_id, round(cos, 6) as cos, rank from gr where rank <= 40", _GRAMS.replace(_PADDED, f"flatten(list_transform(toks, lambda v: {_WORDGRAMS}))").replace("where cos > 0.15", "where cos > 0"))
+_add("gate_three_way", sweep({"tau2": [0.82, 0.94], "tau3": [0.9, 0.94], "tau_gate": [0.82, 0.93]}, "score >= case when target_id like 'S2%' then tau2 else tau3 end and best >= tau_gate", "score desc").replace("from scored, grid", "from (select *, max(score) over (partition by s1_id) as best from scored) scored, grid"), SCORED)
+_add("order_check", "select line_no, s1_id, expected from (select row_number() over (order by s1_id) as line_no, s1_id as expected from ids) full join (select row_number() over (order by s1_id) as line_no, s1_id from ids where s1_id <> (select s1_id from ids order by s1_id limit 1 offset 5)) using (line_no) where s1_id is distinct from expected")
 _add("needed_keys", "select route, count(*) as n_keys, count(distinct id) as n_targets from need group by route", found(EXACT.caps))
 _add("cap_per_key", "select route, key, id from (select *, row_number() over (partition by route, key order by ord, pos) as rn from bk) where rn <= 3", keys("bk", ["brand"], False))
 ORACLES["part_brand_cap"] = "select p_name as key, p_partkey as id from (select *, row_number() over (partition by p_name order by p_partkey) as rn from part) where rn <= 5"
