@@ -79,12 +79,10 @@ def tokens(norm: Column) -> Column:
     return F.filter(F.split(norm, " "), lambda x: x != "")
 
 
-def _words(values: Sequence[str]) -> Column:
-    return F.array(*(F.lit(x) for x in values))
-
-
 def _mapped(table: dict[str, str]) -> Column:
-    return F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
+    """A literal map, as one SQL expression: literals made one by one cost a call each."""
+    quoted = lambda xs: ",".join("'" + x.replace("'", "\\'") + "'" for x in xs)
+    return F.expr(f"map_from_arrays(array({quoted(table)}), array({quoted(table.values())}))")
 
 
 def core_tokens(norm: Column, legal: Sequence[str] = W.LEGAL) -> Column:
@@ -223,7 +221,8 @@ def padded_grams(text: Column) -> Column:
 
 def category_mask(norm: Column) -> Column:
     """The bits of the lines of business whose words the name has."""
-    table = F.create_map(*(F.lit(x) for kv in W.category_bits().items() for x in kv))
+    bits = W.category_bits()
+    table = F.expr("map(" + ",".join(f"'{w}',{b}" for w, b in bits.items()) + ")")
     return F.aggregate(tokens(norm), F.lit(0), lambda a, x: a.bitwiseOR(F.coalesce(table[x], F.lit(0))))
 
 

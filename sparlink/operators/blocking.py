@@ -24,17 +24,18 @@ def route_keys(route: str, query_side: bool, brand_words: int = 6, expanded: boo
         return F.concat(F.array(c("core"), *more), c("aliases"))
     if route == "brand":
         return F.slice("brand", 1, brand_words) if query_side else c("brand")
-    first = F.coalesce(F.get("dist_addr", F.lit(0)), F.lit(""))
-    simple = {
-        "sorted": c("sorted_key"), "concat": F.when(F.length("concat_key") >= 5, c("concat_key")).otherwise(""), "num_prefix": c("num_prefix"), "post_prefix": c("post_prefix"),
-        "post_num": c("post_num"), "pfx4_country": c("pfx4_country"), "bigram": c("bigram"), "post_prefix4": c("post_prefix4"),
-        "city_num": X.both(X.city(c("norm_addr")), c("num")), "char4": c("prefix4"), "domain": X.domain_token(c("name")), "post_dist": X.both(c("postal"), first),
-        "first_prefix5": X.first_token_prefix(c("norm"), 5, 4), "first_prefix4": X.first_token_prefix(c("norm"), 4, 4),
-        "soundex": X.soundex_code(F.coalesce(F.get("core_toks", F.lit(0)), F.lit(""))),
+    if route in ("addr_key", "phone"):
+        return c("addr_keys") if route == "addr_key" else c("phones_raw")
+    if route in ("num_prefix", "post_prefix", "post_num", "pfx4_country", "bigram", "post_prefix4"):
+        return _one(c(route))
+    made = {
+        "sorted": lambda: c("sorted_key"), "concat": lambda: F.when(F.length("concat_key") >= 5, c("concat_key")).otherwise(""), "char4": lambda: c("prefix4"),
+        "city_num": lambda: X.both(X.city(c("norm_addr")), c("num")), "domain": lambda: X.domain_token(c("name")),
+        "post_dist": lambda: X.both(c("postal"), F.coalesce(F.get("dist_addr", F.lit(0)), F.lit(""))),
+        "first_prefix5": lambda: X.first_token_prefix(c("norm"), 5, 4), "first_prefix4": lambda: X.first_token_prefix(c("norm"), 4, 4),
+        "soundex": lambda: X.soundex_code(F.coalesce(F.get("core_toks", F.lit(0)), F.lit(""))),
     }
-    if route in simple:
-        return _one(simple[route])
-    return {"addr_key": c("addr_keys"), "phone": c("phones_raw")}[route]
+    return _one(made[route]())
 
 
 def keys(records: DataFrame, routes: list[str], query_side: bool, brand_words: int = 6, expanded: bool = True) -> DataFrame:

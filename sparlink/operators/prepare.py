@@ -1,28 +1,41 @@
 """Prepared records: all text functions of an entity in one projection."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 
 
-def prepare(entities: DataFrame) -> DataFrame:
-    """entities(entity_id, name, address, country, ...) with the derived columns of a record.
-
-    Nulls count as missing (""). Each step is a column of its own so that later ones look it up; no shuffle.
-    """
-    e = entities.withColumns({"norm": X.normalize(F.col("name")), "norm_addr": X.normalize(F.col("address")), "cc": X.country_code(F.col("country")),
-                              "non_ascii": X.is_non_ascii_name(F.col("name")), "phones_raw": X.phone_tokens(F.concat(X.blank(F.col("address")), F.lit(" "), X.blank(F.col("name"))))})
-    e = e.withColumns({"exp_norm": X.expand_abbreviations(F.col("norm")), "core_toks": X.core_tokens(F.col("norm")), "postal": X.first_postal(F.col("norm_addr")),
-                       "clean_addr": X.clean_address(F.col("norm_addr")), "dist_addr": X.distinctive_address(F.col("norm_addr")), "aliases": X.alias_cores(F.col("norm")), "cat": X.category_mask(F.col("norm"))})
+def steps() -> list[dict[str, Column]]:
+    """The derived columns, step by step: each step's columns are looked up by the next ones."""
+    c = F.col
     join = F.array_join("core_toks", " ")
-    e = e.withColumns({"core": F.when(join != "", join).otherwise(F.col("norm")), "exp_core": X.core_name(F.col("exp_norm")), "sorted_key": F.array_join(F.sort_array("core_toks"), " "),
-                       "concat_key": F.array_join("core_toks", ""), "brand": X.distinctive_tokens(F.col("norm")), "num": X.house_number(F.col("norm_addr"), F.col("postal")),
-                       "phones_addr": X.phone_tokens(F.col("clean_addr"))})
     bare = F.replace("core", F.lit(" "), F.lit(""))
     cut = lambda n: F.when(F.length(bare) >= n, F.substring(bare, 1, n)).otherwise("")
-    e = e.withColumns({"prefix3": cut(3), "prefix4": cut(4), "bigram": X.bigram_key(F.col("brand")), "addr_keys": X.address_keys(F.col("num"), F.col("dist_addr"))})
-    c = F.col
-    return e.withColumns({"num_prefix": X.both(c("num"), c("prefix3")), "post_prefix": X.both(c("postal"), c("prefix3")), "post_num": X.both(c("postal"), c("num")),
-                          "pfx4_country": X.both(c("prefix4"), c("cc")), "post_prefix4": X.both(c("postal"), c("prefix4"))})
+    return [
+        {"norm": X.normalize(c("name")), "norm_addr": X.normalize(c("address")), "cc": X.country_code(c("country")), "non_ascii": X.is_non_ascii_name(c("name")),
+         "phones_raw": X.phone_tokens(F.concat(X.blank(c("address")), F.lit(" "), X.blank(c("name"))))},
+        {"exp_norm": X.expand_abbreviations(c("norm")), "core_toks": X.core_tokens(c("norm")), "postal": X.first_postal(c("norm_addr")), "clean_addr": X.clean_address(c("norm_addr")),
+         "dist_addr": X.distinctive_address(c("norm_addr")), "aliases": X.alias_cores(c("norm")), "cat": X.category_mask(c("norm"))},
+        {"core": F.when(join != "", join).otherwise(c("norm")), "exp_core": X.core_name(c("exp_norm")), "sorted_key": F.array_join(F.sort_array("core_toks"), " "),
+         "concat_key": F.array_join("core_toks", ""), "brand": X.distinctive_tokens(c("norm")), "num": X.house_number(c("norm_addr"), c("postal")), "phones_addr": X.phone_tokens(c("clean_addr"))},
+        {"prefix3": cut(3), "prefix4": cut(4), "bigram": X.bigram_key(c("brand")), "addr_keys": X.address_keys(c("num"), c("dist_addr"))},
+        {"num_prefix": X.both(c("num"), c("prefix3")), "post_prefix": X.both(c("postal"), c("prefix3")), "post_num": X.both(c("postal"), c("num")), "pfx4_country": X.both(c("prefix4"), c("cc")),
+         "post_prefix4": X.both(c("postal"), c("prefix4"))},
+    ]
+
+
+def prepare_all(*entities: DataFrame) -> list[DataFrame]:
+    """Tables of entities(entity_id, name, address, country, ...) with the derived columns of a record.
+
+    Nulls count as missing (""). No shuffle; the expressions are made once for all tables.
+    """
+    out = list(entities)
+    for columns in steps():
+        out = [e.withColumns(columns) for e in out]
+    return out
+
+
+def prepare(entities: DataFrame) -> DataFrame:
+    return prepare_all(entities)[0]

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.blocking import candidates
-from ..operators.prepare import prepare
+from ..operators.prepare import prepare_all
 from ..operators.resolve import gate, owners
 from ..operators.scoring import score_pairs
 from .profiles import V6, Profile
@@ -24,7 +24,7 @@ class Resolution:
 def resolve(queries: DataFrame, targets: DataFrame, profile: Profile = V6, keep: bool = True) -> Resolution:
     """queries and targets: entities with ord. Records and candidates are kept (memory and disk) unless keep is False,
     since each is used more than once; what is lost with an executor is worked out again."""
-    q, t = prepare(queries), prepare(targets)
+    q, t = prepare_all(queries, targets)
     if keep:
         q, t = q.persist(), t.persist()
     found = candidates(q, t, profile)
