@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, tokenizer_path
+from .common import STORES, bounded_batches, slices, tokenizer_path, trimmed
 from .tokens import RunCoder, drops_white_space, has_words_and_marks
 
 
@@ -49,6 +49,7 @@ class TrieBpe:
 
     def __init__(self, path: str):
         import regex
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -73,7 +74,9 @@ class TrieBpe:
         kinds = [x["type"] for x in norm.get("normalizers", [norm] if norm else [])]
         self.nfc, self.lower = "NFC" in kinds, "Lowercase" in kinds
         self.shown = dict(enumerate(byte_chars()))
+        self.lib = Tokenizer.from_file(path)
         self.apart: dict[int, bool] = {}
+        STORES.append(self.apart)
         self.symbols: dict[int, tuple[int, ...]] = {}
         self.runs = RunCoder(self.learn, 2, has_words_and_marks(spec))
 
@@ -112,7 +115,7 @@ class TrieBpe:
         lasts: list[int] = []  # by depth: the last token of the prefix's encoding, and its number of symbols
         sizes: list[int] = []
         last, end = self._last, self.end
-        if len(self.apart) > 2_000_000:
+        if len(self.apart) > 500_000:
             self.apart.clear()
         stack: list[tuple[str, dict, int]] = [("", root, 0)]
         while stack:
@@ -165,6 +168,9 @@ class TrieBpe:
         for p in parts:
             if p in self.added:
                 out.append(self.added[p])
+            elif p and not p.isascii() and any(unicodedata.category(c) == "Cn" for c in p):
+                # Characters newer than Python's Unicode tables: the library's own steps cut them.
+                out += [w for w, _ in self.lib.pre_tokenizer.pre_tokenize_str(self.lib.normalizer.normalize_str(p) if self.lib.normalizer else p)]
             elif p:
                 p = unicodedata.normalize("NFC", p) if self.nfc and not p.isascii() else p
                 if self.lower:  # character by character: no final sigma
@@ -222,6 +228,5 @@ def bpe_encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 n = pc.divide(pc.binary_length(ids).cast(pa.int64()), 4)
                 yield pa.RecordBatch.from_arrays([b.column(0), n, ids, text], names=["id", "n_tokens", "ids", "decoded"])
 
-    out = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, f"id {kind}, n_tokens long, ids binary, decoded string")
+    out = bounded_batches(df).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lambda x: trimmed(run(x), keep=True), f"id {kind}, n_tokens long, ids binary, decoded string")
     return out.withColumnRenamed("id", id_col)

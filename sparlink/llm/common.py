@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -74,6 +75,54 @@ def no_collector() -> Iterator[None]:
             gc.enable()
 
 
+def ascii_runs(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Words of string texts with A-Z lower-cased, as bytes.lower().split() has them: for each word the place of its
+    value, the distinct values, and the number of words of each text. A null text has none."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    d = lists.flatten().dictionary_encode()
+    at, values = d.indices.to_numpy(zero_copy_only=False).astype(np.int64), d.dictionary.cast(pa.binary()).to_pylist()
+    if b"" in values:  # at the ends of texts that begin or end with white space
+        real = at != values.index(b"")
+        n = np.bincount(np.repeat(np.arange(len(n)), n)[real], minlength=len(n)).astype(np.int64)
+        at = at[real]
+    return at, values, n
+
+
+#: Stores of known words that a Python worker keeps from task to task.
+STORES: list[dict] = []
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(batches: Iterator[pa.RecordBatch], keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """Passes batches on; when a task ends, gives the memory that Arrow and the allocator hold back to the system.
+
+    Workers live on between stages: a task that doesn't use the stores of known words (keep False) empties them first.
+    """
+    if not keep and any(STORES):
+        for x in STORES:
+            x.clear()
+        _give_back()
+    try:
+        yield from batches
+    finally:
+        _give_back()
+
+
+def bounded_batches(df: DataFrame, most: int = 16 << 20) -> DataFrame:
+    """df, in a session whose Arrow batches to Python are bounded by bytes as well as by rows."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = conf.get(key, None)
+    if not have or not have.rstrip("bB").isdigit() or int(have.rstrip("bB")) > most:
+        conf.set(key, f"{most}b")
+    return df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

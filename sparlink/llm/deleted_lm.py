@@ -13,7 +13,6 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +24,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_dir, no_collector, open_fs, partitions, slices, utf8, written
+from .common import ascii_runs, bounded_batches, new_dir, open_fs, partitions, slices, trimmed, utf8, written
 
-#: Bytes of text in a block; words whose hash a worker keeps.
-BLOCK, KEEP = 8 << 20, 1_000_000
+#: Bytes of text in a block.
+BLOCK = 8 << 20
 #: Folds of crc32(id) mod 5: never learned from; learned from after the weights are.
 HELD, TUNE = 1, 2
 #: Context buckets; bins of log2 of the ratio of the two estimates, a sixteenth wide, from -32 to 48.
@@ -36,27 +35,16 @@ BUCKETS, BINS = 48, 1280
 END = np.uint64(0x9AE16A3B2F90404F)
 
 
-class Hasher:
-    """Word hashes of whole texts; keeps a bounded number of known words."""
-
-    def __init__(self) -> None:
-        self.known: dict[bytes, bytes] = {}
-
-    def tokens(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All texts' tokens end to end, each text followed by the end token, and the number of tokens of each."""
-        if len(self.known) > KEEP:
-            self.known.clear()
-        known, end = self.known, END.tobytes()
-        with no_collector():
-            runs = [t.lower().split() for t in texts]
-            h = xxhash.xxh3_64_intdigest
-            for w in set(chain.from_iterable(runs)).difference(known):
-                known[w] = h(w).to_bytes(8, "little")
-            flat = b"".join([b"".join(map(known.__getitem__, r)) + end for r in runs])
-        return np.frombuffer(flat, "<u8"), np.array([len(r) + 1 for r in runs], dtype=np.int64)
-
-
-_HASHER = Hasher()
+def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all texts' tokens end to end, each text followed by the end token, and the number of tokens of each."""
+    at, values, n = ascii_runs(texts)
+    h = xxhash.xxh3_64_intdigest
+    lengths = n + 1
+    out = np.full(int(lengths.sum()), END, dtype="<u8")
+    word = np.ones(len(out), dtype=bool)
+    word[np.cumsum(lengths) - 1] = False
+    out[word] = np.fromiter(map(h, values), "<u8", len(values))[at]
+    return out, lengths
 
 
 def bigrams(tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,14 +86,14 @@ def blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if ids:
             yield row()
 
-    out = df.select(F.col(id_col).cast("string").alias("id"), utf8(F.col(text_col)).alias("text"))
-    return written(out.mapInArrow(run, "block long, ids array<string>, folds array<int>, sizes array<long>, z binary"), "lm-blocks", "uncompressed")
+    out = bounded_batches(df).select(F.col(id_col).cast("string").alias("id"), utf8(F.col(text_col)).alias("text"))
+    return written(out.mapInArrow(lambda x: trimmed(run(x)), "block long, ids array<string>, folds array<int>, sizes array<long>, z binary"), "lm-blocks", "uncompressed")
 
 
-def _texts(z: bytes, sizes: np.ndarray) -> list[bytes]:
+def _texts(z: bytes, sizes: np.ndarray) -> pa.Array:
     flat = zstandard.ZstdDecompressor().decompress(z)
-    ends = np.cumsum(sizes).tolist()
-    return [flat[e - n : e] for e, n in zip(ends, sizes.tolist(), strict=True)]
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
 
 
 def _slice_of(keys: np.ndarray, n: int) -> np.ndarray:
@@ -130,7 +118,7 @@ def counts(packed: DataFrame, n_slices: int) -> tuple[str, dict[str, int]]:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, folds, sizes, z in zip(b.column("block").to_pylist(), b.column("folds"), b.column("sizes"), b.column("z").to_pylist(), strict=True):
-                tokens, lengths = _HASHER.tokens(_texts(z, sizes.values.to_numpy()))
+                tokens, lengths = tokens_of(_texts(z, sizes.values.to_numpy()))
                 fold = np.repeat(folds.values.to_numpy(), lengths)
                 for order, keys in ((1, tokens), (2, bigrams(tokens, lengths)[1])):
                     own, at = np.unique(keys, return_inverse=True)
@@ -142,7 +130,7 @@ def counts(packed: DataFrame, n_slices: int) -> tuple[str, dict[str, int]]:
                         [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)],
                         names=["slice", "block", "order", "keys", "a", "b"])
 
-    names = ["block", "slice", "order", "a", "b", "v", "v_a"]
+    names = ["block", "slice", "order", "a", "b", "v", "v_a", "n", "n_a"]
 
     def answer(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [r for b in batches for r in zip(b.column("block").to_pylist(), b.column("keys").to_pylist(), b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True)]
@@ -151,21 +139,22 @@ def counts(packed: DataFrame, n_slices: int) -> tuple[str, dict[str, int]]:
         total = [np.bincount(at, np.concatenate([_unpack(r[i], "<u4") for r in got]), len(distinct)).astype("<u4") for i in (2, 3)]
         ends = np.cumsum([len(x) for x in own])
         slice_, order = key[0].as_py(), key[1].as_py()
-        v, v_a = int(np.count_nonzero(total[0] + total[1])), int(np.count_nonzero(total[0]))
+        both = total[0].astype(np.int64) + total[1]
+        own_totals = int(np.count_nonzero(both)), int(np.count_nonzero(total[0])), int(both.sum()), int(total[0].sum(dtype=np.int64))
         for n, (r, e, x) in enumerate(zip(got, ends, own, strict=True)):
             mine = at[e - len(x) : e]
             first = n == 0  # the slice's own totals go with its first answer
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0]], pa.int64()), pa.array([slice_], pa.int32()), pa.array([order], pa.int32()), pa.array([_pack(total[0][mine])]), pa.array([_pack(total[1][mine])]),
-                 pa.array([v * first], pa.int64()), pa.array([v_a * first], pa.int64())], names=names)
+                 *(pa.array([x * first], pa.int64()) for x in own_totals)], names=names)
 
     spark = packed.sparkSession
-    asked = packed.mapInArrow(ask, "slice int, block long, order int, keys binary, a binary, b binary")
-    answers = asked.groupBy("slice", "order").applyInArrow(answer, "block long, slice int, order int, a binary, b binary, v long, v_a long")
+    asked = packed.mapInArrow(lambda x: trimmed(ask(x)), "slice int, block long, order int, keys binary, a binary, b binary")
+    answers = asked.groupBy("slice", "order").applyInArrow(answer, "block long, slice int, order int, a binary, b binary, v long, v_a long, n long, n_a long")
     folder = new_dir(spark, "lm-answers")
     answers.repartition(F.col("block")).write.option("compression", "uncompressed").partitionBy("block").parquet(folder)
-    got = spark.read.schema("v long, v_a long, order int").parquet(folder).where("order = 1").agg(F.sum("v"), F.sum("v_a")).first()
-    return folder, {"v": got[0] or 0, "v_a": got[1] or 0}
+    got = spark.read.schema("v long, v_a long, n long, n_a long, order int").parquet(folder).where("order = 1").agg(*(F.sum(x) for x in ("v", "v_a", "n", "n_a"))).first()
+    return folder, {k: x or 0 for k, x in zip(("v", "v_a", "n", "n_a"), got, strict=True)}
 
 
 def _totals(folder: str, block: int, tokens: np.ndarray, lengths: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -213,22 +202,14 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     packed = blocks(df, id_col, text_col)
     folder, v = counts(packed, partitions(spark))
 
-    def lengths_by_fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for folds, sizes, z in zip(b.column("folds"), b.column("sizes"), b.column("z").to_pylist(), strict=True):
-                n = np.array([len(t.split()) + 1 for t in _texts(z, sizes.values.to_numpy())], dtype=np.int64)
-                f = folds.values.to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array([int(n[f != HELD].sum())]), pa.array([int(n[(f != HELD) & (f != TUNE)].sum())])], names=["n", "n_a"])
-
-    n = packed.mapInArrow(lengths_by_fold, "n long, n_a long").agg(F.sum("n"), F.sum("n_a")).first()
-    n_all, n_a = n[0] or 0, n[1] or 0
+    n_all, n_a = v["n"], v["n_a"]
     floor_a, floor = n_a + 0.5 * (v["v_a"] + 1), n_all + 0.5 * (v["v"] + 1)
 
     def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hist = np.zeros(BUCKETS * BINS, dtype=np.int64)
         for b in batches:
             for block, folds, sizes, z in zip(b.column("block").to_pylist(), b.column("folds"), b.column("sizes"), b.column("z").to_pylist(), strict=True):
-                tokens, lengths = _HASHER.tokens(_texts(z, sizes.values.to_numpy()))
+                tokens, lengths = tokens_of(_texts(z, sizes.values.to_numpy()))
                 t = _totals(folder, block, tokens, lengths)
                 tune = np.repeat(folds.values.to_numpy() == TUNE, lengths)
                 c, pair, word = (t[k][0][tune] for k in (0, 2, 1))
@@ -240,14 +221,14 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(hist[at], pa.int64())], names=["cell", "n"])
 
     hist = np.zeros(BUCKETS * BINS)  # 61,440 cells, whatever the corpus
-    for r in packed.mapInArrow(ratios, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+    for r in packed.mapInArrow(lambda x: trimmed(ratios(x)), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         hist[r.cell] = r.n
     weights = learn_weights(hist.reshape(BUCKETS, BINS))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, ids, folds, sizes, z in zip(b.column("block").to_pylist(), b.column("ids").to_pylist(), b.column("folds"), b.column("sizes"), b.column("z").to_pylist(), strict=True):
-                tokens, lengths = _HASHER.tokens(_texts(z, sizes.values.to_numpy()))
+                tokens, lengths = tokens_of(_texts(z, sizes.values.to_numpy()))
                 t = _totals(folder, block, tokens, lengths)
                 c, pair, word = (sum(t[k]) for k in (0, 2, 1))
                 one = (word + 0.5) / floor
@@ -259,5 +240,5 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                      pa.array(np.full(len(lengths), n_all)), pa.array(np.add.reduceat(np.log10(one), first)), pa.array(np.add.reduceat(np.log10(mixed), first))],
                     names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    out = packed.mapInArrow(score, "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = packed.mapInArrow(lambda x: trimmed(score(x)), "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)

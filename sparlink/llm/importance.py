@@ -12,49 +12,60 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import no_collector, slices, utf8, written
+from .common import ascii_runs, bounded_batches, no_collector, slices, trimmed, written
 
 #: Hash buckets of the models; labelled documents that are used at most.
 N_BUCKETS, MOST_LABELS = 1 << 16, 50_000
 _PART = re.compile(rb"[0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff]+")
-KEEP = 500_000
-_KNOWN: dict[bytes, bytes] = {}
 
 
-def features(texts: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets of all texts' words, marks and pairs of neighbours, end to end, and the number of each text's."""
-    if len(_KNOWN) > KEEP:
-        _KNOWN.clear()
+def features(texts: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of all texts' words, marks and pairs of neighbours, and the number of each text's; a text's single
+    features come first, then its pairs. Each distinct run of a batch is taken apart once."""
     with no_collector():
-        runs = [t.lower().split() for t in texts]
-        for w in set(chain.from_iterable(runs)).difference(_KNOWN):
-            _KNOWN[w] = np.array([xxhash.xxh3_64_intdigest(p) for p in _PART.findall(w)], "<u8").tobytes()
-        own = [np.frombuffer(b"".join(map(_KNOWN.__getitem__, r)), "<u8") for r in runs]
-    out = []
-    for h in own:
-        pair = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + (h[1:] ^ (h[1:] >> np.uint64(31)))
-        out.append(np.concatenate([h, pair ^ (pair >> np.uint64(33))]) if len(h) else h)
-    flat = np.concatenate(out) if out else np.empty(0, "<u8")
-    return (flat % np.uint64(buckets)).astype(np.int64), np.array([len(x) for x in out], dtype=np.int64)
+        at, values, n = ascii_runs(texts)
+        h = xxhash.xxh3_64_intdigest
+        own = [[h(p) for p in _PART.findall(v)] for v in values]
+        size = np.fromiter(map(len, own), np.int64, len(own))
+        flat = np.fromiter(chain.from_iterable(own), "<u8", int(size.sum()))
+    first = np.cumsum(size) - size
+    # Runs to parts: of each run in the texts the parts that its value has.
+    per = size[at]
+    ends = np.cumsum(per)
+    parts = flat[np.repeat(first[at] - (ends - per), per) + np.arange(int(per.sum()))]
+    text_ends = np.concatenate([[0], ends])[np.cumsum(n)]
+    singles = np.diff(np.concatenate([[0], text_ends]))
+    pair = parts[:-1] * np.uint64(0x9E3779B97F4A7C15) + (parts[1:] ^ (parts[1:] >> np.uint64(31)))
+    pair ^= pair >> np.uint64(33)
+    within = np.ones(len(parts), dtype=bool)  # a pair doesn't reach over a text's end
+    within[text_ends[singles > 0] - 1] = False
+    pairs = np.maximum(singles - 1, 0)
+    total = singles + pairs
+    out = np.empty(int(total.sum()), "<u8")
+    start = np.cumsum(total) - total
+    out[np.repeat(start - (np.cumsum(singles) - singles), singles) + np.arange(len(parts))] = parts
+    out[np.repeat(start + singles - (np.cumsum(pairs) - pairs), pairs) + np.arange(int(pairs.sum()))] = pair[within[:-1]] if len(parts) else pair
+    return (out % np.uint64(buckets)).astype(np.int64), total
 
 
 def bucket_counts(texts: DataFrame, buckets: int) -> np.ndarray:
-    """Counts by bucket over all rows of texts(text binary): `buckets` numbers, whatever the corpus."""
+    """Counts by bucket over all rows of texts(text string): `buckets` numbers, whatever the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, dtype=np.int64)
         for batch in batches:
             for b in slices(batch):
-                total += np.bincount(features(b.column(0).to_pylist(), buckets)[0], minlength=buckets)
+                total += np.bincount(features(b.column(0), buckets)[0], minlength=buckets)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["bucket", "n"])
 
     out = np.zeros(buckets, dtype=np.int64)
-    for r in texts.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in texts.mapInArrow(lambda x: trimmed(run(x)), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[r.bucket] = r.n
     return out
 
@@ -123,33 +134,36 @@ def importance_resample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id"
     their noise; without labelled targets all are kept; an empty table stays empty.
     """
     spark = df.sparkSession
-    whole = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(id_col).alias("id"), utf8(F.col(text_col)).alias("text"))
+    whole = bounded_batches(df).select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+    text = F.col(f"row.`{text_col}`").cast("string").alias("text")
     chosen = labels.toDF("id", "target").where("id is not null and target is not null").orderBy(F.xxhash64("id"), "id").limit(most_labels)
     # Both sides of what is broadcast are bounded by most_labels.
     chosen = F.broadcast(written(chosen, "labels"))
-    sample = written(whole.join(chosen, "id").select("text", "target"), "labelled")
+    sample = written(whole.select(F.col(f"row.`{id_col}`").alias("id"), text).join(chosen, "id").select("text", "target"), "labelled")
     target = bucket_counts(sample.where("target").select("text"), buckets)
-    raw = bucket_counts(whole.select("text"), buckets)
+    raw = bucket_counts(whole.select(text), buckets)
     table = log_ratios(target, raw) if target.any() else np.zeros(buckets)
 
-    def weigh(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def weigh(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         at, n = features(texts, buckets)
         ends = np.cumsum(n)
         total = np.concatenate([[0.0], np.cumsum(table[at])])
         return n, total[ends] - total[ends - n]
 
+    where = df.columns.index(text_col)
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch):
-                n, w = weigh(b.column(1).to_pylist())
+                n, w = weigh(pc.struct_field(b.column(0), where).cast(pa.string()))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(w)], names=[b.schema.names[0], "n_features", "log_weight"])
 
     kind = whole.schema["row"].dataType.simpleString()
-    scored = whole.select("row", "text").mapInArrow(score, f"row {kind}, n_features long, log_weight double")
+    scored = whole.mapInArrow(lambda x: trimmed(score(x)), f"row {kind}, n_features long, log_weight double")
     scored = written(scored.withColumn("key", F.col("log_weight") + gumbel(F.col(f"row.`{id_col}`"), seed=seed)), "weights")
     if k is None:
         known = sample.select("target", "text").mapInArrow(
-            lambda batches: (pa.RecordBatch.from_arrays([b.column(0), pa.array(weigh(b.column(1).to_pylist())[1])], names=["target", "w"]) for batch in batches for b in slices(batch)),
+            lambda batches: (pa.RecordBatch.from_arrays([b.column(0), pa.array(weigh(b.column(1))[1])], names=["target", "w"]) for batch in batches for b in slices(batch)),
             "target boolean, w double").toPandas()
         good = np.sort(known.w[known.target].to_numpy())
         cut = dividing(good, known.w[~known.target].to_numpy())

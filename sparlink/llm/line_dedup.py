@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import bounded_batches, slices, trimmed, written
 
 #: Bits of a filter for each line, the least and the greatest filter (16 MB), and the bits that are merged as one slice.
 BITS_A_LINE, LEAST_BITS, MOST_BITS, SLICE_BITS = 8, 1 << 16, 1 << 27, 1 << 20
@@ -80,7 +80,7 @@ def _filters(df: DataFrame, least: int, bits: int) -> np.ndarray:
                                          names=["slice", "part", "once", "twice"])
 
     schema = "slice int, part int, once binary, twice binary"
-    made = df.mapInArrow(build, schema)
+    made = df.mapInArrow(lambda x: trimmed(build(x)), schema)
     made = made.groupBy("slice", "part").applyInArrow(merge, schema)  # so that no task merges more than a 64th of the tasks'
     got = made.groupBy("slice").applyInArrow(merge, schema).select("slice", "twice").collect()  # MOST_BITS at most
     out = np.zeros(bits // 8, np.uint8)
@@ -119,7 +119,7 @@ def repeated_lines(df: DataFrame, min_docs: int, least: int) -> tuple[DataFrame,
         if count:
             yield rows()
 
-    exact = df.mapInArrow(suspects, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs)
+    exact = df.mapInArrow(lambda x: trimmed(suspects(x)), "key binary, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs)
     return written(exact, "lines"), shared, bits
 
 
@@ -132,9 +132,9 @@ def drop_repeated_lines(df: DataFrame, text_col: str = "text", min_docs: int = 1
     Rows count one by one, repeated rows and ids too; an empty table stays empty. Keys are compared by 128-bit hashes.
     """
     rest = [c for c in df.columns if c not in (text_col, "n_lines", "n_dropped")]
-    bare = df.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
+    bare = bounded_batches(df).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     repeated, _, _ = repeated_lines(bare, min_docs, least)
-    carried = df.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest") if rest else F.lit(None).cast("int").alias("rest"),
+    carried = bounded_batches(df).select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest") if rest else F.lit(None).cast("int").alias("rest"),
                         F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     kind = carried.schema["rest"].dataType.simpleString()
     schema = f"rest {kind}, kept string, n_lines long, n_dropped long"
@@ -158,7 +158,7 @@ def drop_repeated_lines(df: DataFrame, text_col: str = "text", min_docs: int = 1
                 for b in slices(batch, 8 << 20):
                     yield keep(b, [sent.value] * b.num_rows)
 
-        out = carried.mapInArrow(by_set, schema)
+        out = carried.mapInArrow(lambda x: trimmed(by_set(x)), schema)
     else:  # the repeated keys of each distinct text come to it by a join
         def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

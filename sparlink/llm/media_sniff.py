@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import bounded_batches, slices, trimmed, utf8
 
 #: Samples a second of stored payloads.
 RATE = 8000
@@ -229,7 +229,7 @@ def sniffed(df: DataFrame, media_col: str, declared_col: str) -> DataFrame:
     inside. samples: a WAV's data, read from the stored bytes, else null. A null value has the declared type, no parts and
     no samples; an empty one likewise. Repeated rows give rows each; an empty table none. A map over the scan, no shuffle.
     """
-    whole = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns if c != media_col)).alias("row"), F.col(declared_col).cast("string").alias("declared"), F.col(media_col).cast("binary").alias("media"))
+    whole = bounded_batches(df).select(F.struct(*(F.col(f"`{c}`") for c in df.columns if c != media_col)).alias("row"), F.col(declared_col).cast("string").alias("declared"), F.col(media_col).cast("binary").alias("media"))
     kind = whole.schema["row"].dataType.simpleString()
     part = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string()), ("sha256", pa.string())]))
 
@@ -251,7 +251,7 @@ def sniffed(df: DataFrame, media_col: str, declared_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(types, pa.string()), pa.array(corrected, pa.bool_()), pa.array(parts, part), pa.array(samples, pa.binary())],
                                                  names=["row", "media_type", "corrected", "parts", "samples"])
 
-    return whole.mapInArrow(run, f"row {kind}, media_type string, corrected boolean, parts array<struct<offset:long,length:long,type:string,sha256:string>>, samples binary")
+    return whole.mapInArrow(lambda x: trimmed(run(x)), f"row {kind}, media_type string, corrected boolean, parts array<struct<offset:long,length:long,type:string,sha256:string>>, samples binary")
 
 
 def _le32(n: Column) -> Column:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import tokenizer_path
+from .common import tokenizer_path, trimmed
 from .token_order import encoded_in_order, unpacked
 from .tokens import encoder, word_end_punctuation
 
@@ -180,5 +180,5 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: st
         if out:
             yield batch()
 
-    got = rows.mapInArrow(run, "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    got = rows.mapInArrow(lambda x: trimmed(run(x)), "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
     return got.withColumnRenamed("id", id_col)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import bounded_batches, slices, trimmed, written
 
 #: Fingerprints in a tile that is sent as a whole, and in the inner tiles that are compared as matrices.
 TILE, INNER = 1 << 16, 512
@@ -54,7 +54,7 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int = 3, se
                 fps = [fingerprint(x, shingle, seed) for x in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    return bounded_batches(df).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(lambda x: trimmed(run(x)), f"id {kind}, fp long")
 
 
 def groups(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -195,6 +195,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = written(labels.where("n > 1 or not (component_id <=> least)").select("fp", "component_id"), "labels")
     shared = shared.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     mine = docs.select("*", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
-    out = mine.join(shared, ["fp", "salt"], "left")
+    out = mine.join(shared.hint("merge"), ["fp", "salt"], "left")
     # A row that found no label is alone: its fingerprint has one row and no link.
     return out.select(F.col("id").alias(id_col), "fp", F.coalesce("component_id", "id").alias("component_id"))

@@ -9,7 +9,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, range_bounds, slices
+from .common import bounded_batches, partitions, range_bounds, slices, trimmed
 from .tokens import encoder
 
 
@@ -38,8 +38,7 @@ def encoded_in_order(df: DataFrame, id_col: str, text_col: str, path: str, end_i
                     [pa.array(where, pa.int32()), ids, pa.array([len(x) // enc.width for x in got], pa.int64()), pa.array(map(pack, got), pa.binary())],
                     names=["shard", "id", "n", "z"])
 
-    out = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "shard int, id long, n long, z binary")
+    out = bounded_batches(df).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lambda x: trimmed(run(x), keep=True), "shard int, id long, n long, z binary")
     return out.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "id", "n", "z"), shards
 
 

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import no_collector
+from .common import STORES, no_collector
 
 #: White space of the tokenizer files' regular expressions: Unicode's White_Space. Python and Arrow
 #: also split at \x1c-\x1f, which are no white space there.
@@ -83,9 +83,10 @@ class RunCoder:
     characters are kept between batches; then the store is emptied, so memory is bounded.
     """
 
-    def __init__(self, learn: Callable[[list[str], bool], list[tuple[bytes, ...]]], outputs: int, parted: bool, keep: int = 1_000_000):
+    def __init__(self, learn: Callable[[list[str], bool], list[tuple[bytes, ...]]], outputs: int, parted: bool, keep: int = 600_000):
         self.learn, self.outputs, self.parted, self.keep = learn, outputs, parted, keep
         self.known: dict[str, tuple[bytes, ...]] = {}
+        STORES.append(self.known)
 
     def _of(self, words: pa.Array, lettered: pa.Array | None) -> list[pa.Array]:
         """The outputs of each word, by its distinct values."""

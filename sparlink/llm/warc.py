@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import commit_file, open_fs, partitions, range_bounds, utf8, written
+from .common import bounded_batches, commit_file, open_fs, partitions, range_bounds, trimmed, utf8, written
 
 #: Compressed bytes at which a file is closed; compression level; payloads from this size on are deduplicated.
 ROLL, LEVEL, DEDUP_FROM = 64 << 20, 4, 100
@@ -112,7 +112,7 @@ def write_warc(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str
     spark = df.sparkSession
     fs, where = open_fs(folder)
     fs.create_dir(where, recursive=True)
-    pages = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), utf8(F.col(payload_col)).alias("payload"))
+    pages = bounded_batches(df).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), utf8(F.col(payload_col)).alias("payload"))
     bounds = range_bounds(df, id_col, partitions(spark))
     shards = len(bounds) + 1
     edges = np.array(bounds, dtype=np.int64)
@@ -127,7 +127,7 @@ def write_warc(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str
             at = np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(edges, ids.fill_null(0).to_numpy(zero_copy_only=False), side="left"))
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *b.columns], names=["shard", *b.schema.names])
 
-    dealt = both.mapInArrow(place, "shard int, page_id long, digest string, kind int, url string, payload binary, first long")
+    dealt = both.mapInArrow(lambda x: trimmed(place(x)), "shard int, page_id long, digest string, kind int, url string, payload binary, first long")
     dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +149,7 @@ def write_warc(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done, strict=True)], names=["file", "records", "bytes", "sha256"])
 
-    got = sorted(tuple(r) for r in dealt.mapInArrow(write, "file string, records long, bytes long, sha256 string").collect())
+    got = sorted(tuple(r) for r in dealt.mapInArrow(lambda x: trimmed(write(x)), "file string, records long, bytes long, sha256 string").collect())
     with fs.open_output_stream(f"{where}/.manifest.json.tmp") as f:
         f.write(json.dumps(got).encode())
     commit_file(fs, f"{where}/.manifest.json.tmp", f"{where}/manifest.json")
