@@ -191,3 +191,17 @@ def test_streaming(spark, sf, tmp_path):
     want = resolution.resolve(e.where("source = 1"), e.where("source > 1"), EXACT, keep=False).matches
     key = lambda df: sorted((r.target_id, r.s1_id, r.score) for r in df.collect())
     assert key(matches(table, EXACT)) == key(want)
+
+
+def test_package(spark, tmp_path):
+    from sparlink.plans import package
+
+    (tmp_path / "s1.tsv").write_text("id\tname\taddress\tcountry\nS1-1\ta\tb\tUS\nS1-2\ta\tb\tUS\n")
+    (tmp_path / "m.tsv").write_text("source1_entity_id\tmatched_entity_ids\nS1-1\tS2-1\nS1-2\t\n")
+    (tmp_path / "c.tsv").write_text("source1_entity_id\tcandidate_entity_ids\nS1-1\tS2-1,S3-2\nS1-2\t\n")
+    m, c, s1 = (str(tmp_path / x) for x in ("m.tsv", "c.tsv", "s1.tsv"))
+    assert package.problems(spark, m, c, s1) == []
+    package.pack({"m.tsv": m}, str(tmp_path / "out.zip"))
+    (tmp_path / "c.tsv").write_text("source1_entity_id\tcandidate_entity_ids\nS1-1\tS3-2\nS1-9\tX\n")
+    found = " ".join(package.problems(spark, m, c, s1))
+    assert all(x in found for x in ("missing_s1", "extra_s1", "wrong_prefix", "1 matches aren't candidates"))
