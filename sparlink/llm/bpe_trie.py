@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import STORES, bounded_batches, slices, tokenizer_path, trimmed
-from .tokens import RunCoder, drops_white_space, has_words_and_marks
+from .tokens import RunCoder, drops_white_space, has_words_and_marks, ranges
 
 
 def byte_chars() -> list[str]:
@@ -33,15 +33,7 @@ def byte_chars() -> list[str]:
 @lru_cache
 def category_ranges(kind: str) -> str:
     """The ranges of characters of a general category (its first letter), as the inside of a class in brackets."""
-    own = [unicodedata.category(chr(c))[0] == kind for c in range(0x110000)] + [False]
-    out, start = [], None
-    for c, is_own in enumerate(own):
-        if is_own and start is None:
-            start = c
-        elif not is_own and start is not None:
-            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return "".join(out)
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges(lambda c: unicodedata.category(c)[0] == kind))
 
 
 class TrieBpe:
@@ -178,9 +170,9 @@ class TrieBpe:
                 out += ["".join(map(self.shown.__getitem__, w.encode())) for w in self.pattern.findall(p)]
         return out
 
-    def learn(self, words: list[str], lettered: bool) -> list[tuple[bytes, bytes]]:
+    def learn(self, words: list[str], pieces: list[int]) -> list[tuple[bytes, bytes]]:
         """Of each distinct word: its ids as little-endian 32-bit integers, and its tokens, each before a space."""
-        cut = [[x] if lettered and x.isascii() else self._pieces(x) for x in words]
+        cut = [[x] if n == 1 and x.isascii() and x.isalpha() and x.islower() else self._pieces(x) for x, n in zip(words, pieces, strict=True)]
         ids = self.encode_words({w for p in cut for w in p if isinstance(w, str)})
         text, out = self.text, []
         for pieces in cut:

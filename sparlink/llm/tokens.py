@@ -4,8 +4,10 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 from array import array
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,8 +57,30 @@ def drops_white_space(spec: dict) -> bool:
 
 #: Fixed value: a pattern under which letters followed by other marks are two words on their own.
 _LETTERS_THEN_MARKS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Letters, and ASCII marks that may follow them; an apostrophe may belong to them and is none.
-_PARTS = r"^(?P<word>\p{L}+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
+def ranges(fits: Callable[[str], bool]) -> list[tuple[int, int]]:
+    """The ranges of the characters that fit."""
+    out, start = [], None
+    for c in range(0x110001):
+        own = c < 0x110000 and not 0xD800 <= c < 0xE000 and fits(chr(c))
+        if own and start is None:
+            start = c
+        elif not own and start is not None:
+            out.append((start, c - 1))
+            start = None
+    return out
+
+
+@lru_cache
+def _parts() -> str:
+    """A pattern for letters and ASCII marks behind them; an apostrophe may belong to letters and is none of these marks.
+
+    The letters are those that stay as they are in the composed form (jamo, which compose, are left out) and whose
+    lower case is one letter; so a word of them is one piece, and its case doesn't matter. (Arrow's own utf8_normalize
+    gives the decomposed form for "NFC" and is of no use here.)
+    """
+    own = ranges(lambda c: unicodedata.category(c)[0] == "L" and not "\u1100" <= c <= "\u11ff" and len(c.lower()) == 1 and unicodedata.normalize("NFC", c) == c)
+    letters = "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in own)
+    return rf"^(?P<word>[{letters}]+)(?P<marks>[!-&(-/:-@\[-`{{-~]*)$"
 
 
 def has_words_and_marks(spec: dict) -> bool:
@@ -66,29 +90,30 @@ def has_words_and_marks(spec: dict) -> bool:
 
 
 def words_and_marks(runs: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
-    """(word, marks, lettered) of distinct runs: a lower-cased word of letters alone and the marks behind it, or the
-    run as it is and no marks."""
-    parts = pc.extract_regex(runs, _PARTS)
-    word, marks = parts.field("word"), parts.field("marks")
-    low = pc.utf8_lower(word)
-    plain = pc.or_(pc.string_is_ascii(word), pc.and_(pc.equal(pc.utf8_normalize(word, "NFC"), word), pc.and_(pc.utf8_is_alpha(low), pc.invert(pc.match_substring(word, "\u0130")))))
-    fits = pc.fill_null(pc.and_(plain, pc.is_valid(parts)), False)
-    return pc.if_else(fits, low, runs), pc.if_else(fits, marks, ""), fits
+    """(word, marks, pieces) of distinct runs: a lower-cased word of letters alone and the marks behind it, or the run as
+    it is and no marks; pieces: into how many the pattern cuts the word, 0 where that isn't certain (beyond ASCII)."""
+    parts = pc.extract_regex(runs, _parts())
+    fits = pc.is_valid(parts)
+    low, marks = pc.utf8_lower(parts.field("word")), parts.field("marks")
+    # In ASCII no normal form changes the count; special tokens hold "<|".
+    sure = pc.and_(pc.string_is_ascii(runs), pc.invert(pc.match_substring(runs, "<|")))
+    counted = pc.count_substring_regex(pc.ascii_lower(pc.if_else(pc.and_(sure, pc.invert(fits)), runs, "")), _LETTERS_THEN_MARKS)
+    return pc.if_else(fits, low, runs), pc.if_else(fits, marks, ""), pc.if_else(fits, pa.scalar(1, pa.int32()), counted)
 
 
 class RunCoder:
     """Maps whole texts to bytes, run by run; each distinct run of a batch is looked at once, in Arrow's kernels.
 
-    learn(words, lettered) gives one or more byte strings for each new word. Up to `keep` words of at most 64
+    learn(words, pieces) gives one or more byte strings for each new word; pieces: the number of each, 0 for unknown. Up to `keep` words of at most 64
     characters are kept between batches; then the store is emptied, so memory is bounded.
     """
 
-    def __init__(self, learn: Callable[[list[str], bool], list[tuple[bytes, ...]]], outputs: int, parted: bool, keep: int = 600_000):
+    def __init__(self, learn: Callable[[list[str], list[int]], list[tuple[bytes, ...]]], outputs: int, parted: bool, keep: int = 600_000):
         self.learn, self.outputs, self.parted, self.keep = learn, outputs, parted, keep
         self.known: dict[str, tuple[bytes, ...]] = {}
         STORES.append(self.known)
 
-    def _of(self, words: pa.Array, lettered: pa.Array | None) -> list[pa.Array]:
+    def _of(self, words: pa.Array, pieces: pa.Array | None) -> list[pa.Array]:
         """The outputs of each word, by its distinct values."""
         d = words.dictionary_encode()
         keys = d.dictionary.to_pylist()
@@ -96,19 +121,13 @@ class RunCoder:
         have = list(map(known.get, keys))
         new = [i for i, x in enumerate(have) if x is None]
         if new:
-            if lettered is not None:
-                first = np.zeros(len(keys), dtype=bool)
-                first[d.indices.to_numpy()] = lettered.to_numpy(zero_copy_only=False)
-                kinds = first[new].tolist()
-            else:
-                kinds = [False] * len(new)
-            for kind in (True, False):
-                own = [i for i, k in zip(new, kinds, strict=True) if k == kind]
-                if own:
-                    for i, x in zip(own, self.learn([keys[i] for i in own], kind), strict=True):
-                        have[i] = x
-                        if len(keys[i]) <= 64:
-                            known[keys[i]] = x
+            n = np.zeros(len(keys), dtype=np.int64)
+            if pieces is not None:
+                n[d.indices.to_numpy()] = pieces.to_numpy(zero_copy_only=False)
+            for i, x in zip(new, self.learn([keys[i] for i in new], n[new].tolist()), strict=True):
+                have[i] = x
+                if len(keys[i]) <= 64:
+                    known[keys[i]] = x
         return [pa.array([x[k] for x in have], pa.binary()).take(d.indices) for k in range(self.outputs)]
 
     def code(self, texts: pa.Array) -> list[pa.Array]:
@@ -120,8 +139,8 @@ class RunCoder:
             ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
             d = lists.flatten().dictionary_encode()
             if self.parted:
-                words, marks, lettered = words_and_marks(d.dictionary)
-                outs = [pc.binary_join_element_wise(a, b, b"") for a, b in zip(self._of(words, lettered), self._of(marks, None), strict=True)]
+                words, marks, pieces = words_and_marks(d.dictionary)
+                outs = [pc.binary_join_element_wise(a, b, b"") for a, b in zip(self._of(words, pieces), self._of(marks, None), strict=True)]
             else:
                 outs = self._of(d.dictionary, None)
             got = []
@@ -154,20 +173,24 @@ class Encoder:
     def _each(self, texts: list[str]) -> list[tuple[bytes]]:
         return [(np.array(x.ids, dtype=self.dtype).tobytes(),) for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str], lettered: bool) -> list[tuple[bytes]]:
-        """Words of letters alone are encoded in one text each thousand: each gives one token that ends a word, its last."""
-        if not lettered or not self.ends.any():
-            return self._each(words)
-        out: list[tuple[bytes]] = []
-        groups = [words[i : i + 1000] for i in range(0, len(words), 1000)]
-        for group, got in zip(groups, self.tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+    def _learn(self, words: list[str], pieces: list[int]) -> list[tuple[bytes]]:
+        """Words of a known number of pieces are encoded in one text a thousand: a piece gives one token that ends it."""
+        out: list[tuple[bytes] | None] = [None] * len(words)
+        some = [i for i, n in enumerate(pieces) if n] if self.ends.any() else []
+        groups = [some[i : i + 1000] for i in range(0, len(some), 1000)]
+        texts = [" ".join([words[i] for i in g]) for g in groups]
+        for group, got in zip(groups, self.tok.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids = np.array(array("I", got.ids), dtype=self.dtype)
-            cut = ((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()
-            raw = ids.tobytes()
-            if len(cut) != len(group) or cut[-1] != len(raw):
-                out += self._each(group)
-            else:
-                out += [(raw[a:b],) for a, b in zip([0, *cut], cut)]
+            last = np.flatnonzero(self.ends[ids])
+            each = np.cumsum([pieces[i] for i in group])
+            if len(last) == each[-1] and last[-1] == len(ids) - 1:
+                raw, at = ids.tobytes(), 0
+                for i, to in zip(group, ((last[each - 1] + 1) * self.width).tolist(), strict=True):
+                    out[i] = (raw[at:to],)
+                    at = to
+        left = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(left, self._each([words[i] for i in left]), strict=True):
+            out[i] = x
         return out
 
     def encode(self, texts: pa.Array) -> pa.Array:
