@@ -38,9 +38,9 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_targets(labels: DataFrame) -> DataFrame:
-    """(doc_id, target): labelled documents of good quality that are not toxic, against those of bad quality."""
-    good = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 0 or t = 0")
-    return good.select("doc_id", (F.col("q") == 1).alias("target"))
+    """(doc_id, target): labelled documents of good quality that are not toxic, against all other labelled ones."""
+    known = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
+    return known.select("doc_id", F.expr("q = 1 and t = 0").alias("target"))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
