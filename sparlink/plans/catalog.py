@@ -237,6 +237,13 @@ def route_tfidf_topk(f: Fixture) -> DataFrame:
     return top.select(C("q").alias("s1_id"), C("t").alias("target_id"), F.round("cos", 6).alias("cos"), _long(C("rank")).alias("rank"))
 
 
+@query
+def route_tfidf_shards(f: Fixture) -> DataFrame:
+    """As the reference retrieves: all frequent grams, rare and common, and the best 20 of each 100,000 targets."""
+    top = TF.sharded_top(f.s1, f.targets, "entity_id", "ord", X.padded_grams(C("core")))
+    return top.select(C("q").alias("s1_id"), C("t").alias("target_id"), F.round("cos", 6).alias("cos"), _long(C("rank")).alias("rank"))
+
+
 @query
 def tfidf_word_grams(f: Fixture) -> DataFrame:
     grams = X.word_grams(C("norm"))
