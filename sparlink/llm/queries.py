@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_trie import bpe_encode_decode
-from .common import new_dir, tokenizer_path, utf8
+from .common import new_dir, tokenizer_path, utf8, written
 from .deleted_lm import lm_scores
 from .importance import importance_resample
 from .line_dedup import drop_repeated_lines
@@ -52,6 +52,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     stored = docs.select("doc_id", F.octet_length(utf8(F.col("text"))).cast("long").alias("n_bytes"), F.lit("application/octet-stream").alias("declared"), wav_of(text_payload(F.col("text"))).alias("media"))
+    stored = written(stored, "media")  # what follows reads the stored bytes
     stored = stored.withColumn("media_bytes", F.octet_length("media").cast("long")).withColumn("media_sha256", F.sha2("media", 256))
     got = sniffed(stored, "media", "declared")
     n = F.octet_length("samples").cast("long")
