@@ -2,7 +2,7 @@
 
 Documents are measured and tested by base rules; failures are counted by host, each host's failure rate is shrunk
 towards the corpus by a beta prior whose two parameters are estimated from the hosts themselves (moments of their
-rates), and a host whose shrunk rate is above a limit has all its documents rejected.
+rates), and a host whose rate is surely far above the corpus's has all its documents rejected.
 """
 from __future__ import annotations
 
@@ -50,8 +50,12 @@ def base_failed(min_words: int = 50, repeat_share: int = 50) -> Column:
     return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_share * F.col("n_words"))
 
 
-def host_rates(measures: DataFrame, host: str, failed: Column) -> DataFrame:
-    """(host, n, n_failed, rate): each host's failure rate, shrunk by the empirical beta prior.
+def host_rates(measures: DataFrame, host: str, failed: Column, excess: float = 3.0, least: float = 0.3, most: float = 0.8, sure: float = 2.33) -> DataFrame:
+    """(host, n, n_failed, rate, low, rejected): each host's failure rate, shrunk by the empirical beta prior.
+
+    rate is the posterior's mean and low lies `sure` of its standard deviations below: a host is rejected if low exceeds
+    `excess` times the corpus's rate, a limit that is kept within least and most. So a bad host goes as a whole, a small
+    host that was unlucky stays, and a corpus of hosts that are all alike loses none.
 
     The prior's mean and strength are those of the hosts' own rates by moments: with mean m and variance v of the rates,
     strength m(1-m)/v - 1, within 1 and 1e6. Without spread or with one host it is the greatest, so hosts count as the
@@ -64,21 +68,27 @@ def host_rates(measures: DataFrame, host: str, failed: Column) -> DataFrame:
     m = prior.m or 0.0
     spread = prior.mr * (1 - prior.mr) / prior.v - 1 if prior.v else 1e6
     strength = min(max(spread, 1.0), 1e6)
-    return hosts.withColumn("rate", (F.col("n_failed") + m * strength) / (F.col("n") + strength))
+    limit = min(most, max(least, excess * m))
+    out = hosts.withColumn("rate", (F.col("n_failed") + m * strength) / (F.col("n") + strength))
+    out = out.withColumn("low", F.col("rate") - sure * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + strength + 1)))
+    return out.withColumn("rejected", F.col("low") > limit)
 
 
-def quality_rules(df: DataFrame, text_col: str = "text", host_col: str = "source", max_rate: float = 0.8, min_words: int = 50, repeat_share: int = 50) -> DataFrame:
-    """df's columns as they are, as the struct `row`, with the five measures, base_failed, host_rate and kept.
+def quality_rules(df: DataFrame, text_col: str = "text", host_col: str = "source", min_words: int = 50, repeat_share: int = 50, excess: float = 3.0, least: float = 0.3, most: float = 0.8,
+                  sure: float = 2.33, carry: list[str] | None = None) -> DataFrame:
+    """df's columns as they are (those of carry, if given), as the struct `row`, with the five measures, base_failed,
+    host_rate and kept.
 
-    kept is false for documents that fail a base rule and for all documents of a host whose shrunk failure rate exceeds
-    max_rate. A null or empty text has 0 words and fails; a null host is one host; repeated rows count each; an empty
-    table stays empty. Measures are written once and read for the hosts' counts and for the verdicts. A hot host meets its
-    verdict by a broadcast where the table of hosts proves small at run time, else by a join whose large parts are split.
+    kept is false for documents that fail a base rule and for all documents of a host that host_rates rejects. A null or
+    empty text has 0 words and fails; a null host is one host; repeated rows count each; an empty table stays empty.
+    Measures are written once and read for the hosts' counts and for the verdicts. A hot host meets its verdict by a
+    broadcast where the table of hosts proves small at run time, else by a join whose large parts are split.
     """
-    whole = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("__text"))
+    names = df.columns if carry is None else carry
+    whole = df.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("__text"))
     got = measured(whole, "__text").drop("__text").withColumn("base_failed", base_failed(min_words, repeat_share))
     got = written(got, "measures")
-    hosts = host_rates(got, "host", F.col("base_failed")).select(F.col("host").alias("__host"), F.col("rate").alias("host_rate"))
+    hosts = host_rates(got, "host", F.col("base_failed"), excess, least, most, sure).select(F.col("host").alias("__host"), F.col("rate").alias("host_rate"), "rejected")
     hosts = written(hosts, "host-rates")
     out = got.join(hosts, got["host"].eqNullSafe(hosts["__host"]), "left").drop("__host", "host")
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= max_rate))
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("rejected")).drop("rejected")

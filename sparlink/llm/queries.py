@@ -22,7 +22,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    got = quality_rules(_table(spark, sf_dir, "documents"), carry=["doc_id"])
     return got.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -104,9 +104,10 @@ m as (select w.r, doc_id, source, len(ws)::bigint as n_words, length(regexp_repl
 b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m),
 h as (select source, count(*) as n, count(*) filter (where base_failed) as f from b group by source),
 pr as (select sum(f) / sum(n) as mean, avg(f / n) as mr, var_pop(f / n) as v from h),
-st as (select mean, least(greatest(case when v > 0 then mr * (1 - mr) / v - 1 else 1e6 end, 1), 1e6) as s from pr)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and (h.f + mean * s) / (h.n + s) <= 0.8 as kept
-from b join h on b.source is not distinct from h.source, st
+st as (select mean, least(greatest(case when v > 0 then mr * (1 - mr) / v - 1 else 1e6 end, 1), 1e6) as s from pr),
+v as (select source, (f + mean * s) / (n + s) as rate, n + s as weight, least(0.8, greatest(0.3, 3 * mean)) as most from h, st)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and rate - 2.33 * sqrt(rate * (1 - rate) / (weight + 1)) <= most as kept
+from b join v on b.source is not distinct from v.source
 """
 
 OP8_SQL = """
