@@ -3,6 +3,8 @@
 Distinct words go into a trie. A depth-first walk gives each node the last token of its prefix's
 encoding; the encoding of the rest is that of an ancestor, so shared prefixes are worked out once.
 The last token is the one suffix of the prefix that merges leave apart from the ancestor's last token.
+The words are those of a batch that no earlier batch had; a part of a word that no other word shares
+is no chain of nodes but stays a piece of that word. Time and memory are linear in a word's length.
 """
 from __future__ import annotations
 
@@ -13,6 +15,7 @@ from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -70,7 +73,11 @@ class TrieBpe:
         self.apart: dict[int, bool] = {}
         STORES.append(self.apart)
         self.symbols: dict[int, tuple[int, ...]] = {}
-        self.runs = RunCoder(self.learn, 2, has_words_and_marks(spec))
+        self.runs = RunCoder(self.learn, 1, has_words_and_marks(spec))
+        if spec.get("decoder"):
+            raise ValueError(f"{path}: decoders are not known here")
+        # By id the token and a space: without a decoder, tokens are joined by spaces. Ids without a token give nothing.
+        self.spaced = pa.array([self.text[i] + " " if i in self.text else "" for i in range(max(self.text) + 1)], pa.large_string())
 
     # Merging as the vocabulary defines it: used on the few symbols of one or two tokens only.
     def _units(self, token: int) -> tuple[int, ...]:
@@ -93,51 +100,72 @@ class TrieBpe:
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Ids of distinct words, given in the vocabulary's characters, by one walk over their trie."""
+        # A node's edges lead to nodes or, where one word alone goes on, to (that word, the place after the edge). The
+        # edge that ends a word bears the end mark and is a symbol of its own: words end under "".
         root: dict = {}
         for w in words:
-            node = root
-            for c in w[:-1]:
-                nxt = node.get(c)
+            node, stop = root, len(w) - 1
+            for at in range(stop):
+                nxt = node.get(w[at])
                 if nxt is None:
-                    nxt = node[c] = {}
+                    node[w[at]] = (w, at + 1)
+                    break
+                if type(nxt) is tuple:  # a second word: the first one's next edge becomes a node's
+                    other, place = nxt
+                    nxt = node[w[at]] = {other[place]: (other, place + 1)} if place < len(other) - 1 else {"": [other]}
                 node = nxt
-            # The edge that ends a word bears the end mark and is a symbol of its own.
-            node.setdefault("", []).append(w)
+            else:
+                node.setdefault("", []).append(w)
         out: dict[str, list[int]] = {}
         lasts: list[int] = []  # by depth: the last token of the prefix's encoding, and its number of symbols
         sizes: list[int] = []
-        last, end = self._last, self.end
+        last, end, most = self._last, self.end, self.longest
+
+        def ended(w: str) -> None:
+            n = len(w)
+            token, size = last(w[-most:] + end, min(n, most), n, lasts, sizes)
+            ids, at = [token], n - size
+            while at:
+                ids.append(lasts[at - 1])
+                at -= sizes[at - 1]
+            ids.reverse()
+            out[w] = ids
+
         if len(self.apart) > 500_000:
             self.apart.clear()
-        stack: list[tuple[str, dict, int]] = [("", root, 0)]
+        # (the prefix's last `most` characters, what follows, depth)
+        stack: list[tuple[str, dict | tuple, int]] = [("", root, 0)]
         while stack:
-            prefix, node, depth = stack.pop()
+            tail, node, depth = stack.pop()
             if depth:
                 del lasts[depth - 1 :], sizes[depth - 1 :]
-                token, size = last(prefix, depth, lasts, sizes)
+                token, size = last(tail, len(tail), depth, lasts, sizes)
                 lasts.append(token)
                 sizes.append(size)
+            if type(node) is tuple:
+                w, at = node
+                for n in range(at + 1, len(w)):
+                    token, size = last(w[max(0, n - most) : n], min(n, most), n, lasts, sizes)
+                    lasts.append(token)
+                    sizes.append(size)
+                ended(w)
+                continue
             for edge, child in node.items():
                 if edge:
-                    stack.append((prefix + edge, child, depth + 1))
+                    stack.append(((tail + edge)[-most:], child, depth + 1))
                     continue
                 for w in child:
-                    token, at = last(w + end, depth + 1, lasts, sizes)
-                    ids, at = [token], depth + 1 - at
-                    while at:
-                        ids.append(lasts[at - 1])
-                        at -= sizes[at - 1]
-                    ids.reverse()
-                    out[w] = ids
+                    ended(w)
         return out
 
-    def _last(self, text: str, n: int, lasts: list[int], sizes: list[int]) -> tuple[int, int]:
-        """The last token of a prefix of n symbols and its size. One suffix only stays apart from what stands before it,
-        so the order of trying doesn't matter; mostly it is the last symbol alone or with the token before it."""
+    def _last(self, text: str, held: int, n: int, lasts: list[int], sizes: list[int]) -> tuple[int, int]:
+        """The last token of a prefix of n symbols and its size; text: its last `held` symbols. One suffix only stays
+        apart from what stands before it, so the order of trying doesn't matter; mostly it is the last symbol alone or
+        with the token before it."""
         vocab, apart = self.vocab.get, self.apart
-        likely = sizes[n - 2] + 1 if n > 1 else 1
-        for size in (likely, *range(1, likely), *range(likely + 1, min(n, self.longest) + 1)):
-            token = vocab(text[n - size :])
+        likely = min(sizes[n - 2] + 1 if n > 1 else 1, held)
+        for size in (likely, *range(1, likely), *range(likely + 1, held + 1)):
+            token = vocab(text[held - size :])
             if token is not None:
                 key = (lasts[n - size - 1] + 1) << 20 | token if size < n else token
                 fits = apart.get(key)
@@ -170,27 +198,34 @@ class TrieBpe:
                 out += ["".join(map(self.shown.__getitem__, w.encode())) for w in self.pattern.findall(p)]
         return out
 
-    def learn(self, words: list[str], pieces: list[int]) -> list[tuple[bytes, bytes]]:
-        """Of each distinct word: its ids as little-endian 32-bit integers, and its tokens, each before a space."""
+    def learn(self, words: list[str], pieces: list[int]) -> list[tuple[bytes]]:
+        """Of each distinct word its ids as little-endian 32-bit integers."""
         cut = [[x] if n == 1 and x.isascii() and x.isalpha() and x.islower() else self._pieces(x) for x, n in zip(words, pieces, strict=True)]
         ids = self.encode_words({w for p in cut for w in p if isinstance(w, str)})
-        text, out = self.text, []
+        out = []
         for pieces in cut:
-            got = ids[pieces[0]] if len(pieces) == 1 and isinstance(pieces[0], str) else [i for w in pieces for i in ((w,) if isinstance(w, int) else ids[w])]
-            own = array("I", got)
+            own = array("I", ids[pieces[0]] if len(pieces) == 1 and isinstance(pieces[0], str) else [i for w in pieces for i in ((w,) if isinstance(w, int) else ids[w])])
             if sys.byteorder == "big":
                 own.byteswap()
-            out.append((own.tobytes(), "".join([text[i] + " " for i in got]).encode()))
+            out.append((own.tobytes(),))
         return out
 
-    def decode(self, ids: Iterable[int]) -> str:
-        """Tokens joined by a space, as a file without a decoder has it; special tokens stay."""
-        return " ".join(self.text[i] for i in ids if i in self.text)
+    def decode(self, ids: pa.Array) -> pa.Array:
+        """The text of each value of little-endian 32-bit ids: tokens joined by a space, special tokens included."""
+        _, offsets, data = ids.buffers()
+        at = np.frombuffer(offsets, np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64) // 4
+        flat = np.frombuffer(data, "<u4")[at[0] : at[-1]] if data else np.empty(0, "<u4")
+        tokens = self.spaced.take(pa.array(flat))
+        _, ends, chars = tokens.buffers()
+        ends = np.frombuffer(ends, np.int64)[at - at[0]] if len(flat) else np.zeros(len(at), np.int64)
+        starts, to = ends[:-1], np.maximum(ends[1:] - 1, ends[:-1])  # without the last space
+        raw = memoryview(chars) if chars else b""
+        return pa.array([bytes(raw[i:j]) for i, j in zip(starts.tolist(), to.tolist(), strict=True)], pa.binary()).cast(pa.string())
 
     def codec(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
-        """Of each whole text: its ids and the decoded text."""
-        ids, text = self.runs.code(texts)
-        return ids, pc.ascii_rtrim(text.cast(pa.string()), " ")
+        """Of each whole text: its ids and the text decoded from them."""
+        ids = self.runs.code(texts)[0]
+        return ids, self.decode(ids)
 
 
 _CODECS: dict[str, TrieBpe] = {}
