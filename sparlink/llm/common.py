@@ -4,6 +4,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,9 +31,12 @@ def tokenizer_path(name: str = TOKENIZER_FILE) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; only where that is unset, a local one (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; only where that is unset and all runs in one process, a
+    local one. On a cluster without that setting it raises."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='sparlink-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -141,13 +145,66 @@ def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatc
         at = to
 
 
-def range_bounds(df: DataFrame, key: str, n: int) -> list[int]:
-    """At most n-1 increasing values of a long key that cut it into about equal ranges."""
-    if n < 2:
-        return []
-    found = df.select(F.col(key).cast("long").alias("k")).where("k is not null").approxQuantile(
-        "k", [i / n for i in range(1, n)], 0.2 / n)
-    return sorted({int(x) for x in found})
+def _narrowed(keyed: DataFrame, by: str, heavy: list[int], shift: int) -> DataFrame:
+    """The rows of keyed whose `by`, shifted, is one of heavy."""
+    some = keyed.sparkSession.createDataFrame([(x,) for x in heavy], "__bin long")
+    return keyed.join(F.broadcast(some), F.shiftright(by, shift) == F.col("__bin"), "left_semi")
+
+
+def order_bounds(keyed: DataFrame, least: int, most_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Increasing bounds (id, h) that cut the rows of keyed(id long, h long, size long) into shards of about equal size:
+    `least` of them, or as many as keep a shard near most_bytes.
+
+    They are exact sums by bins of the id, so they don't depend on how rows are dealt; bins that hold much are cut finer,
+    and one id that holds more than a shard is cut by h. A null id counts as the smallest. What the driver gets is a few
+    hundred numbers for each shard at most.
+    """
+    keyed = keyed.select(F.coalesce("id", F.lit(-(1 << 63)).cast("long")).alias("id"), "h", "size")
+    lo, hi, total = keyed.agg(F.min("id"), F.max("id"), F.sum("size")).first()
+    none = np.empty(0, np.int64), np.empty(0, np.int64)
+    if lo is None or not total:
+        return none
+    n = max(least, -(-total // most_bytes))
+    share = total / n
+    shift = 0
+    while (hi >> shift) - (lo >> shift) >= 16384 + 4 * n:
+        shift += 1
+    last, leaves, inside = (1 << 63) - 1, [], keyed
+    while True:
+        got = inside.groupBy(F.shiftright("id", shift).alias("bin")).agg(F.sum("size").alias("size")).collect()
+        heavy = [r.bin for r in got if r.size > (share / 4 if shift else share)]
+        cut = set(heavy)
+        leaves += [((r.bin + 1 << shift) - 1, last, r.size) for r in got if r.bin not in cut]
+        if not heavy:
+            break
+        inside = _narrowed(inside, "id", heavy, shift)
+        if shift:
+            shift = max(0, shift - max(6, ((16384 + 4 * n) // len(heavy)).bit_length() - 1))
+            continue
+        # Single ids of more than a shard's size, by the upper bits of h.
+        bits = min(32, max(4, int(max(r.size for r in got) / share * 8).bit_length()))
+        got = inside.groupBy("id", F.shiftright("h", 64 - bits).alias("bin")).agg(F.sum("size").alias("size")).collect()
+        leaves += [(r.id, (r.bin + 1 << 64 - bits) - 1, r.size) for r in got]
+        break
+    leaves.sort()
+    sums = np.cumsum([float(x[2]) for x in leaves])
+    ends = np.flatnonzero(np.floor(sums[:-1] / share) > np.floor(np.concatenate([[0.0], sums[:-2]]) / share)) if len(sums) > 1 else []
+    return np.array([leaves[i][0] for i in ends], np.int64), np.array([leaves[i][1] for i in ends], np.int64)
+
+
+def shard_of(bounds: tuple[np.ndarray, np.ndarray], ids: pa.Array, h: pa.Array) -> np.ndarray:
+    """The shard of each (id, h): the number of bounds below it."""
+    own = ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+    at = np.searchsorted(bounds[0], own, side="left")
+    to = np.searchsorted(bounds[0], own, side="right")
+    many = np.flatnonzero(to > at)  # rows whose id is a bound
+    if len(many):
+        hs = h.to_numpy(zero_copy_only=False)
+        for i in np.unique(own[many]):
+            rows = many[own[many] == i]
+            a, b = at[rows[0]], to[rows[0]]
+            at[rows] = a + np.searchsorted(bounds[1][a:b], hs[rows], side="left")
+    return at
 
 
 def utf8(text: Column) -> Column:

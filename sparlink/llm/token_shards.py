@@ -19,7 +19,7 @@ from .common import commit_file, open_fs, tokenizer_path
 from .token_order import encoded_in_order, unpacked
 from .tokens import encoder
 
-#: Sequences in a record batch.
+#: Sequences in a record batch; a shard's last one may have fewer.
 BATCH = 256
 
 
@@ -65,8 +65,8 @@ class _Shard:
         self.total += len(ids)
         self.waiting += len(ids)
         self.docs += 1
-        if self.waiting >= BATCH * self.seq_len:
-            self._put(self.waiting // self.seq_len)
+        if self.waiting >= BATCH * self.seq_len:  # whole batches only: all but a shard's last have as many sequences
+            self._put(self.waiting // (BATCH * self.seq_len) * BATCH)
         if len(self.index) >= 8192:
             self._put_docs()
 
@@ -104,7 +104,7 @@ class _Shard:
 
 
 def write_token_shards(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None,
-                       end_id: int = 1, seq_len: int = 2048) -> Written:
+                       end_id: int = 1, seq_len: int = 2048, shards: int | None = None) -> Written:
     """Encodes whole texts, appends end_id to each, and writes the ids in ascending id order.
 
     A null or empty text is one end_id; null ids come first; repeated ids stand together and each row is written; an
@@ -112,7 +112,7 @@ def write_token_shards(df: DataFrame, folder: str, id_col: str = "doc_id", text_
     last, so that a folder without it is unfinished. A lost task writes its shard again, under the same final name.
     """
     path = path or tokenizer_path()
-    rows, _ = encoded_in_order(df, id_col, text_col, path, end_id)
+    rows, _ = encoded_in_order(df, id_col, text_col, path, end_id, shards)
     width = encoder(path).width
     fs, where = open_fs(folder)
     fs.create_dir(where, recursive=True)
@@ -153,7 +153,9 @@ def open_token_shards(folder: str) -> Written:
 
 
 class Sequences:
-    """Random access to the sequences of a folder: seqs[i] gives (ids, mask); ids is a view into the mapped file."""
+    """Random access to the sequences of a folder: seqs[i] gives (ids, mask), views into the mapped file both; ids is a
+    numpy array, mask (whose values are single bits) an Arrow one. Every batch but a shard's last has BATCH sequences, so
+    a sequence's place is a division."""
 
     def __init__(self, folder: str):
         self.info = open_token_shards(folder)
@@ -163,27 +165,17 @@ class Sequences:
     def __len__(self) -> int:
         return int(self.starts[-1])
 
-    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def __getitem__(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
         if not 0 <= i < len(self):
             raise IndexError(i)
         k = int(np.searchsorted(self.starts, i, side="right")) - 1
         if k not in self.open:
             fs, where = open_fs(self.info.folder)
             self.open[k] = pa.ipc.open_file(fs.open_input_file(f"{where}/shard-{self.info.shards[k][0]:06d}.ids.arrow"))
-        batch, row = self._find(k, i - int(self.starts[k]))
-        b = self.open[k].get_batch(batch)
+        batch, row = divmod(i - int(self.starts[k]), BATCH)
         n = self.info.seq_len
-        ids, mask = (c.flatten() for c in b.slice(row, 1).columns)
-        return ids.to_numpy()[:n], mask.to_numpy(zero_copy_only=False)[:n]
-
-    def _find(self, k: int, row: int) -> tuple[int, int]:
-        f = self.open[k]
-        for b in range(f.num_record_batches):
-            n = f.get_batch(b).num_rows
-            if row < n:
-                return b, row
-            row -= n
-        raise IndexError(row)
+        ids, mask = (c.values.slice(row * n, n) for c in self.open[k].get_batch(batch).columns)
+        return ids.to_numpy(zero_copy_only=True), mask
 
 
 def _documents(folder: str, shard: int, width: int) -> Iterator[tuple[int | None, int, np.ndarray]]:

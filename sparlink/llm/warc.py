@@ -2,7 +2,8 @@
 
 Records are sorted by ranges of their id; each shard rolls files by compressed size. Headers, lengths and digests are
 made anew from the payload. A file is written under a temporary name and renamed; each shard, and then the whole, ends
-with a manifest, so that what no manifest names doesn't count. The same table gives the same bytes.
+with a manifest, so that what no manifest names doesn't count. The same table gives the same bytes, however its rows are
+dealt, for the same number of shards.
 """
 from __future__ import annotations
 
@@ -11,16 +12,18 @@ import json
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, commit_file, open_fs, partitions, range_bounds, trimmed, utf8, written
+from .common import bounded_batches, commit_file, open_fs, order_bounds, partitions, shard_of, trimmed, utf8, written
 
 #: Compressed bytes at which a file is closed; compression level; payloads from this size on are deduplicated.
 ROLL, LEVEL, DEDUP_FROM = 64 << 20, 4, 100
+#: Bytes of payload in a shard at most, but for one id's equal payloads.
+SHARD_BYTES = 256 << 20
 DATE = "2024-01-01T00:00:00Z"
 SALTS = 16
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -80,13 +83,18 @@ class _Files:
             self.done.append((self.name, self.n, self.size, self.sha.hexdigest()))
             self.out = None
 
-    def finish(self) -> list[tuple[str, int, int, str]]:
+    def finish(self) -> tuple[int, int, int, int]:
+        """Writes the shard's manifest; its (shard, files, records, bytes)."""
         self.close()
-        tmp = f"{self.where}/.shard-{self.shard:06d}.json.tmp-{self.attempt}"
+        tmp = f"{self.where}/.{_manifest(self.shard)}.tmp-{self.attempt}"
         with self.fs.open_output_stream(tmp) as f:
             f.write(json.dumps(self.done).encode())
-        commit_file(self.fs, tmp, f"{self.where}/shard-{self.shard:06d}.json")
-        return self.done
+        commit_file(self.fs, tmp, f"{self.where}/{_manifest(self.shard)}")
+        return self.shard, len(self.done), sum(x[1] for x in self.done), sum(x[2] for x in self.done)
+
+
+def _manifest(shard: int) -> str:
+    return f"shard-{shard:06d}.json"
 
 
 def first_of_equal(pages: DataFrame, dedup_from: int) -> DataFrame:
@@ -101,41 +109,45 @@ def first_of_equal(pages: DataFrame, dedup_from: int) -> DataFrame:
     return keyed.join(first, ["digest", "salt"]).groupBy("page_id", "digest").agg(F.min("first").alias("first"))
 
 
-def write_warc(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", roll: int = ROLL, dedup_from: int = DEDUP_FROM) -> list[tuple[str, int, int, str]]:
-    """Writes a record for each row and returns (file, records, bytes, sha256), also in manifest.json.
+def write_warc(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", roll: int = ROLL, dedup_from: int = DEDUP_FROM,
+               shards: int | None = None) -> list[tuple[int, int, int, int]]:
+    """Writes a record for each row and returns each shard's (shard, files, records, bytes), also in manifest.json; a
+    shard's own manifest names its files with (file, records, bytes, sha256).
 
     Of rows with equal payloads of at least dedup_from bytes the one with the smallest id is a response and the others
     revisit it; of repeated ids the first by (digest, url). A null payload is empty; a null url is urn:none; null ids come
-    first and are responses unless an id has their payload. An empty table gives a manifest without files. Payloads are
-    shuffled once, by ranges of the id; verdicts travel beside them and meet them in the sorted shard.
+    first and are responses unless an id has their payload. An empty table gives a manifest without shards. There are
+    `shards` of them, else as many as the session has shuffle partitions, more where one would pass SHARD_BYTES; an id that
+    holds more than a shard is cut by its payloads' digests. Payloads are shuffled once, by ranges of the id; verdicts
+    travel beside them and meet them in the sorted shard.
     """
     spark = df.sparkSession
     fs, where = open_fs(folder)
     fs.create_dir(where, recursive=True)
     pages = bounded_batches(df).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), utf8(F.col(payload_col)).alias("payload"))
-    bounds = range_bounds(df, id_col, partitions(spark))
-    shards = len(bounds) + 1
-    edges = np.array(bounds, dtype=np.int64)
+    upper = F.conv(F.substring("digest", 1, 15), 16, 10).cast("long")  # in the order of the digests
+    keyed = pages.select(F.col("page_id").alias("id"), F.sha2("payload", 256).alias("digest"), (F.octet_length("payload") + 64).cast("long").alias("size")).select("id", upper.alias("h"), "size")
+    bounds = order_bounds(keyed, shards or partitions(spark), SHARD_BYTES)
+    count = len(bounds[0]) + 1
     refs = first_of_equal(pages, dedup_from)
     null = lambda kind: F.lit(None).cast(kind)
     both = refs.select("page_id", "digest", F.lit(0).alias("kind"), null("string").alias("url"), null("binary").alias("payload"), "first").unionByName(
         pages.select("page_id", F.sha2("payload", 256).alias("digest"), F.lit(1).alias("kind"), "url", "payload", null("long").alias("first")))
+    both = both.withColumn("h", upper)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0)
-            at = np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(edges, ids.fill_null(0).to_numpy(zero_copy_only=False), side="left"))
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *b.columns], names=["shard", *b.schema.names])
+            yield pa.RecordBatch.from_arrays([pa.array(shard_of(bounds, b.column(0), b.column(6)), pa.int32()), *b.columns[:6]], names=["shard", *b.schema.names[:6]])
 
     dealt = both.mapInArrow(lambda x: trimmed(place(x)), "shard int, page_id long, digest string, kind int, url string, payload binary, first long")
-    dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+    dealt = dealt.repartitionById(count, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, shard, key, first, copy, done = None, -1, None, None, 0, []
         for b in batches:
             for k, page, digest, kind, url, payload, ref in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if k != shard:
-                    done += files.finish() if files else []
+                    done += [files.finish()] if files else []
                     files, shard = _Files(folder, k, roll), k
                 if (page, digest) != key:
                     key, first, copy = (page, digest), None, 0
@@ -145,11 +157,11 @@ def write_warc(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str
                 to = first if first is not None and (page != first or copy) else None
                 files.add(gzip_member(warc_record(page, url, payload, digest, to, copy)))
                 copy += 1
-        done += files.finish() if files else []
+        done += [files.finish()] if files else []
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done, strict=True)], names=["file", "records", "bytes", "sha256"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*done, strict=True)], names=["shard", "files", "records", "bytes"])
 
-    got = sorted(tuple(r) for r in dealt.mapInArrow(lambda x: trimmed(write(x)), "file string, records long, bytes long, sha256 string").collect())
+    got = sorted(tuple(r) for r in dealt.mapInArrow(lambda x: trimmed(write(x)), "shard long, files long, records long, bytes long").collect())
     with fs.open_output_stream(f"{where}/.manifest.json.tmp") as f:
         f.write(json.dumps(got).encode())
     commit_file(fs, f"{where}/.manifest.json.tmp", f"{where}/manifest.json")
@@ -192,17 +204,22 @@ def _page(uri: str) -> int | None:
     return None if page == "null" else int(page)
 
 
+def files_of(fs: pafs.FileSystem, where: str, shard: int) -> list[str]:
+    with fs.open_input_stream(f"{where}/{_manifest(shard)}") as f:
+        return [x[0] for x in json.loads(f.read())]
+
+
 def read_warc(spark: SparkSession, folder: str, with_payload: bool = True) -> DataFrame:
-    """Every record that the manifest names: (page_id, url, record_type, payload_bytes, payload_digest, refers_to[, payload]).
+    """Every record that the manifests name: (page_id, url, record_type, payload_bytes, payload_digest, refers_to[, payload]).
 
-    A task reads each file in parts and checks its records' lengths and digests. A revisit's payload is null, its length
+    A task reads a shard's files in parts and checks its records' lengths and digests. A revisit's payload is null, its length
     and digest are those of the full payload.
     """
     fs, where = open_fs(folder)
     with fs.open_input_stream(f"{where}/manifest.json") as f:
-        files = [x[0] for x in json.loads(f.read())]
+        shards = [x[0] for x in json.loads(f.read())]
     schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long" + ", payload binary" * with_payload
-    if not files:
+    if not shards:
         return spark.createDataFrame([], schema)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +227,7 @@ def read_warc(spark: SparkSession, folder: str, with_payload: bool = True) -> Da
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()] + [pa.binary()] * with_payload
         names = [x.split()[0] for x in schema.split(", ")]
         for b in batches:
-            for name in b.column(0).to_pylist():
+            for name in (x for shard in b.column(0).to_pylist() for x in files_of(fs, where, shard)):
                 rows, size = [], 0
                 with fs.open_input_stream(f"{where}/{name}", compression=None) as f:
                     for data in _members(f):
@@ -227,5 +244,5 @@ def read_warc(spark: SparkSession, folder: str, with_payload: bool = True) -> Da
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    todo = spark.createDataFrame(list(enumerate(files)), "at int, file string")
-    return todo.repartitionById(len(files), F.col("at")).select("file").mapInArrow(read, schema)
+    todo = spark.createDataFrame(list(enumerate(shards)), "at int, shard long")
+    return todo.repartitionById(len(shards), F.col("at")).select("shard").mapInArrow(read, schema)
