@@ -2,7 +2,8 @@
 
 A first pass puts the hash of each line's key into a filter of keys seen once and, where it was there, into a filter of
 keys seen twice; filters of tasks are merged (a key in two "once" filters goes to "twice"). Only keys that the second
-filter knows - suspected repeats - are shuffled, with a count for each task, for the exact number of their documents.
+filter knows - suspected repeats - are shuffled, with a count for each task, for the exact number of their documents and
+the choice of the first one.
 """
 from __future__ import annotations
 
@@ -90,8 +91,14 @@ def _filters(df: DataFrame, least: int, bits: int) -> np.ndarray:
     return out
 
 
+def owner_of(doc: object, text: bytes) -> bytes:
+    """What stands for a row: a hash of its id and text."""
+    return xxhash.xxh3_128_digest(f"{doc}\n".encode() + text)
+
+
 def repeated_lines(df: DataFrame, min_docs: int, least: int) -> tuple[DataFrame, object, int]:
-    """(key, n) of keys in at least min_docs rows of df(text binary), exact; the broadcast filter and its bits."""
+    """(key, n, owner) of keys in at least min_docs rows of df(text binary, id long), exact; the broadcast filter and its
+    bits. owner is that of the key's first row, by (id with nulls last, owner)."""
     spark = df.sparkSession
     lines = df.select(F.sum(F.length("text") - F.length(F.replace(F.col("text").cast("string"), F.lit("\n"))).cast("long") + 1)).first()[0] or 0
     bits = LEAST_BITS
@@ -100,50 +107,85 @@ def repeated_lines(df: DataFrame, min_docs: int, least: int) -> tuple[DataFrame,
     shared = spark.sparkContext.broadcast(_filters(df, least, bits).tobytes())
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(shared.value, np.uint8)
-        count: Counter = Counter()
+        have: dict[bytes, tuple[int, tuple[bool, int, bytes]]] = {}
 
         def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], names=["key", "n"])
+            first = [x[1] for x in have.values()]
+            return pa.RecordBatch.from_arrays([pa.array(list(have), pa.binary()), pa.array([x[0] for x in have.values()], pa.int64()), pa.array([x[0] for x in first], pa.bool_()),
+                                               pa.array([x[1] for x in first], pa.int64()), pa.array([x[2] for x in first], pa.binary())], names=["key", "n", "none", "id", "owner"])
 
         for batch in batches:
             for b in slices(batch, 8 << 20):
-                keys = [k for t in b.column(0).to_pylist() for k in {x for x in line_keys(t)[1] if x and len(x.decode()) >= least}]
-                if keys:
-                    p = _points(keys, bits)
-                    hit = ((table[p >> 3] >> (p & 7)) & 1).all(axis=1)
-                    count.update(xxhash.xxh3_128_digest(keys[i]) for i in np.flatnonzero(hit))
-                if len(count) > 200_000:
+                texts, ids = b.column(0).to_pylist(), b.column(1).to_pylist()
+                for row, keys in suspected(texts, np.frombuffer(shared.value, np.uint8), bits, least):
+                    mine = (ids[row] is None, ids[row] or 0, owner_of(ids[row], texts[row]))
+                    for k in keys:
+                        n, first = have.get(k, (0, mine))
+                        have[k] = n + 1, min(first, mine)
+                if len(have) > 200_000:
                     yield rows()
-                    count.clear()
-        if count:
+                    have.clear()
+        if have:
             yield rows()
 
-    exact = df.mapInArrow(lambda x: trimmed(suspects(x)), "key binary, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs)
-    return written(exact, "lines"), shared, bits
+    exact = df.mapInArrow(lambda x: trimmed(suspects(x)), "key binary, n long, none boolean, id long, owner binary")
+    exact = exact.groupBy("key").agg(F.sum("n").alias("n"), F.min(F.struct("none", "id", "owner")).alias("first")).where(F.col("n") >= min_docs)
+    return written(exact.select("key", "n", "first.owner"), "lines"), shared, bits
 
 
-def drop_repeated_lines(df: DataFrame, text_col: str = "text", min_docs: int = 10, least: int = 1, most_keys: int = MOST_KEYS) -> DataFrame:
-    """Drops the lines whose key stands in at least min_docs rows from every row.
+def suspected(texts: list[bytes], table: np.ndarray, bits: int, least: int) -> Iterator[tuple[int, list[bytes]]]:
+    """Of each text with any its place and the hashes of its distinct keys that the filter of repeats knows."""
+    own = [[x for x in set(line_keys(t)[1]) if x and len(x.decode()) >= least] for t in texts]
+    keys = [k for x in own for k in x]
+    if not keys:
+        return
+    p = _points(keys, bits)
+    hit = ((table[p >> 3] >> (p & 7)) & 1).all(axis=1)
+    row = np.repeat(np.arange(len(own)), [len(x) for x in own])
+    at = np.flatnonzero(hit)
+    cut = np.flatnonzero(np.diff(row[at])) + 1
+    for part in np.split(at, cut):
+        if len(part):
+            yield int(row[part[0]]), [xxhash.xxh3_128_digest(keys[i]) for i in part]
+
+
+def drop_repeated_lines(df: DataFrame, text_col: str = "text", min_docs: int = 10, least: int = 1, keep: str = "none", id_col: str | None = None, most_keys: int = MOST_KEYS) -> DataFrame:
+    """Drops the lines whose key stands in at least min_docs rows, from every row, or with keep="first" from all but one.
 
     A line's key is the line without white space at its ends, A-Z lower-cased; keys of fewer than `least` code points
-    stay. Returns df's columns with the kept text in text_col, joined by newlines, and the longs n_lines (before
-    dropping) and n_dropped; columns of those names are replaced. A null or empty text is one empty line and gives "".
-    Rows count one by one, repeated rows and ids too; an empty table stays empty. Keys are compared by 128-bit hashes.
+    stay. keep="first": in the row with the smallest id (column id_col, long; nulls last, then by a hash of id and text;
+    rows that are equal in both alike) the key's first line stays. Returns df's columns with the kept text in text_col,
+    joined by newlines, and the longs n_lines (before dropping) and n_dropped; columns of those names are replaced. A null
+    or empty text is one empty line and gives "". Rows count one by one, repeated rows and ids too; an empty table stays
+    empty. Keys are compared by 128-bit hashes.
     """
+    if keep not in ("none", "first"):
+        raise ValueError(f"keep is none or first, not {keep}")
     rest = [c for c in df.columns if c not in (text_col, "n_lines", "n_dropped")]
-    bare = bounded_batches(df).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    repeated, _, _ = repeated_lines(bare, min_docs, least)
+    own_id = F.col(f"`{id_col}`").cast("long") if id_col else F.lit(None).cast("long")
+    bare = bounded_batches(df).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"), own_id.alias("id"))
+    repeated, shared, bits = repeated_lines(bare, min_docs, least)
     carried = bounded_batches(df).select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest") if rest else F.lit(None).cast("int").alias("rest"),
-                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
+                                         F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"), own_id.alias("id"))
     kind = carried.schema["rest"].dataType.simpleString()
     schema = f"rest {kind}, kept string, n_lines long, n_dropped long"
+    first = keep == "first"
 
-    def keep(b: pa.RecordBatch, drops: list) -> pa.RecordBatch:
+    def kept_rows(b: pa.RecordBatch, drops: list[dict[bytes, bytes]]) -> pa.RecordBatch:
+        """drops: of each row the keys to drop, with their owners."""
         kept, n_lines, n_dropped = [], [], []
-        for text, drop in zip(b.column(1).to_pylist(), drops, strict=True):
+        for text, doc, drop in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), drops, strict=True):
             lines, keys = line_keys(text)
-            left = [x for x, k in zip(lines, keys, strict=True) if not (k and len(k.decode()) >= least and xxhash.xxh3_128_digest(k) in drop)] if drop else lines
+            left = lines
+            if drop:
+                own, spared, left = owner_of(doc, text) if first else b"", set(), []
+                for x, k in zip(lines, keys, strict=True):
+                    h = xxhash.xxh3_128_digest(k) if k and len(k.decode()) >= least else b""
+                    owner = drop.get(h)
+                    if owner is None or first and owner == own and h not in spared:
+                        left.append(x)
+                        if owner is not None:
+                            spared.add(h)
             kept.append(b"\n".join(left))
             n_lines.append(len(lines))
             n_dropped.append(len(lines) - len(left))
@@ -151,33 +193,38 @@ def drop_repeated_lines(df: DataFrame, text_col: str = "text", min_docs: int = 1
                                           names=["rest", "kept", "n_lines", "n_dropped"])
 
     if repeated.count() <= most_keys:
-        sent = df.sparkSession.sparkContext.broadcast(frozenset(bytes(r.key) for r in repeated.select("key").collect()))
+        sent = df.sparkSession.sparkContext.broadcast({bytes(r.key): bytes(r.owner) for r in repeated.select("key", "owner").collect()})
 
         def by_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for b in slices(batch, 8 << 20):
-                    yield keep(b, [sent.value] * b.num_rows)
+                    yield kept_rows(b, [sent.value] * b.num_rows)
 
         out = carried.mapInArrow(lambda x: trimmed(by_set(x)), schema)
-    else:  # the repeated keys of each distinct text come to it by a join
+    else:  # the repeated keys of each distinct text come to it by a join; only keys that the filter knows are shuffled
         def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for b in slices(batch, 8 << 20):
-                    got = [(xxhash.xxh3_128_digest(t), xxhash.xxh3_128_digest(k)) for t in set(b.column(0).to_pylist()) for k in set(line_keys(t)[1]) if k]
+                    texts = list(set(b.column(0).to_pylist()))
+                    got = [(xxhash.xxh3_128_digest(texts[i]), k) for i, keys in suspected(texts, np.frombuffer(shared.value, np.uint8), bits, least) for k in keys]
                     if got:
                         yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*got, strict=True)], names=["doc", "key"])
 
-        salted = repeated.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        has = bare.mapInArrow(pairs, "doc binary, key binary").select("*", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("salt"))
-        has = has.join(salted, ["key", "salt"]).groupBy("doc").agg(F.collect_set("key").alias("drop"))
-        own = carried.mapInArrow(lambda batches: (
-            pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([xxhash.xxh3_128_digest(t) for t in b.column(1).to_pylist()], pa.binary())], names=["rest", "text", "doc"])
-            for batch in batches for b in slices(batch, 8 << 20)), f"rest {kind}, text binary, doc binary")
+        def spread(d: DataFrame) -> DataFrame:
+            return d.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+
+        has = bare.mapInArrow(lambda x: trimmed(pairs(x)), "doc binary, key binary").distinct().select("*", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("salt"))
+        has = has.join(spread(repeated.select("key", "owner")), ["key", "salt"]).groupBy("doc").agg(F.collect_list(F.struct("key", "owner")).alias("drop"))
+        hashed = carried.mapInArrow(lambda batches: (
+            pa.RecordBatch.from_arrays([*b.columns, pa.array([xxhash.xxh3_128_digest(t) for t in b.column(1).to_pylist()], pa.binary())], names=["rest", "text", "id", "doc"])
+            for batch in batches for b in slices(batch, 8 << 20)), f"rest {kind}, text binary, id long, doc binary")
+        # A text that a third of all rows share is spread over salts.
+        hashed = hashed.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
 
         def by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for b in slices(batch, 8 << 20):
-                    yield keep(b, [frozenset(x or ()) for x in b.column(2).to_pylist()])
+                    yield kept_rows(b, [{x["key"]: x["owner"] for x in d or ()} for d in b.column(3).to_pylist()])
 
-        out = own.join(has, "doc", "left").select("rest", "text", "drop").mapInArrow(by_row, schema)
+        out = hashed.join(spread(has), ["doc", "salt"], "left").select("rest", "text", "id", "drop").mapInArrow(lambda x: trimmed(by_row(x)), schema)
     return out.select(*(F.col(f"rest.`{c}`").alias(c) for c in rest), F.col("kept").alias(text_col), "n_lines", "n_dropped")
