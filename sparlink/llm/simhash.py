@@ -8,7 +8,6 @@ pair gives a spanning forest of its links only, so large groups of near copies d
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations_with_replacement, product
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, slices, trimmed, written
+from .common import bounded_batches, partitions, slices, trimmed, written
 
 #: Fingerprints in a tile that is sent as a whole, and in the inner tiles that are compared as matrices.
 TILE, INNER = 1 << 16, 512
@@ -118,54 +117,65 @@ def _roots(lab: np.ndarray, la: np.ndarray, lb: np.ndarray) -> tuple[np.ndarray,
 
 
 def links(spark: SparkSession, distinct: DataFrame, count: int, radius: int) -> DataFrame:
-    """(a, b): links that join the distinct fingerprints (column fp) within the radius as all their links would."""
+    """(a, b): links that join the distinct fingerprints (column fp) within the radius as all their links would.
+
+    The driver gets a row for each cell, 6561 at most; the pairs of tiles are worked out by tasks.
+    """
     depth = next(d for d in range(9) if 3**d * TILE // 2 >= count or d == 8)
     digit = [F.bit_count(F.shiftright("fp", 8 * i).bitwiseAND(F.lit(255))) for i in range(depth)]
     digit = [F.when(d <= 3, 0).when(d == 4, 1).otherwise(2) for d in digit]  # counts of 3 and less, of 4, of 5 and more
     code = sum((d * 3**i for i, d in enumerate(digit)), F.lit(0))
     dealt = distinct.select("fp", code.cast("int").alias("cell"))
-    # As many rows as there are cells, 6561 at most: what the driver gets doesn't grow with the table.
-    sizes = {r.cell: r.n for r in dealt.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    parts = {c: -(-n // TILE) for c, n in sizes.items()}
-    number = {t: i for i, t in enumerate((c, s) for c in sorted(parts) for s in range(parts[c]))}
-    digits = {c: np.array([c // 3**i % 3 for i in range(depth)]) for c in parts}
-    pairs = []
-    for c, e in combinations_with_replacement(sorted(parts), 2):
-        if np.abs(digits[c] - digits[e]).sum() <= radius:
-            for s, t in product(range(parts[c]), range(parts[e])):
-                if c != e or s <= t:
-                    pairs.append((len(pairs), number[c, s], number[e, t]))
-    split = F.create_map(*(F.lit(x) for kv in parts.items() for x in kv)) if parts else None
-    if split is None:
+    sizes = sorted(tuple(r) for r in dealt.groupBy("cell").agg(F.count("*").alias("n")).collect())
+    if not sizes:
         return spark.createDataFrame([], "a long, b long")
-    part = F.pmod(F.xxhash64("fp"), split[F.col("cell")].cast("long"))
-    first = {c: number[c, 0] for c in parts}
-    tile = (F.create_map(*(F.lit(x) for kv in first.items() for x in kv))[F.col("cell")] + part).cast("int")
-    tiles = dealt.select(tile.alias("tile"), "fp").groupBy("tile").agg(F.collect_list("fp").alias("fps"))
-    uses = spark.createDataFrame([(p, t) for p, s, t2 in pairs for t in {s, t2}], "pair int, tile int")
+    codes = np.array([c for c, _ in sizes])
+    parts = np.array([-(-n // TILE) for _, n in sizes])
+    first = np.cumsum(parts) - parts  # the number of each cell's first tile
+    cells = F.broadcast(spark.createDataFrame([(int(c), int(f), int(n)) for c, f, n in zip(codes, first, parts)], "cell int, first long, parts long"))
+    placed = dealt.join(cells, "cell").select((F.col("first") + F.pmod(F.xxhash64("fp"), F.col("parts"))).alias("tile"), "fp")
+    tiles = placed.groupBy("tile").agg(F.collect_list("fp").alias("fps"))
+    digits = np.stack([codes // 3**i % 3 for i in range(depth)], axis=1) if depth else np.zeros((len(codes), 0), np.int64)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each tile its pairs with itself and with later ones, in a row for each tile of a pair."""
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                c = int(np.searchsorted(first, t, side="right")) - 1
+                near = np.flatnonzero(np.abs(digits - digits[c]).sum(axis=1) <= radius)
+                for e in near[near >= c]:
+                    others = np.arange(max(t, int(first[e])), int(first[e] + parts[e]))
+                    both = others[others != t]
+                    lo, hi = np.full(len(others) + len(both), t), np.concatenate([others, both])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (lo, hi, np.concatenate([np.full(len(others), t), both]))], names=["lo", "hi", "tile"])
+
+    total = int(parts.sum())
+    uses = spark.range(0, total, 1, max(1, min(total, partitions(spark)))).mapInArrow(pairs, "lo long, hi long, tile long")
 
     def compare(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [x.values.to_numpy().view(np.uint64) for b in batches for x in b.column("fps")]
-        for a, b in [tile_links(got[0], got[1] if len(got) > 1 else None, radius)]:
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        a, b = tile_links(got[0], got[1] if len(got) > 1 else None, radius)
+        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+    # Every pair has its own tile at least; a tile without fingerprints (none fell to it) has no row.
+    return tiles.join(uses, "tile").select("lo", "hi", "fps").groupBy("lo", "hi").applyInArrow(compare, "a long, b long")
 
-    dealt_pairs = tiles.join(uses, "tile").select("pair", "fps")
-    return dealt_pairs.groupBy("pair").applyInArrow(compare, "a long, b long")
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a smaller node, which has none itself: then no round changes anything."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not ends.where("up > 1 or up = 1 and down = 1").limit(1).count()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with a link: root is the smallest node it reaches. edges: (a, b) of longs.
 
     Alternating stars: every node links its larger neighbours, then its smaller ones, to its smallest neighbour, until
-    nothing changes. Each round is a written table, so no lineage grows and a lost executor costs one round at most.
+    all edges are stars around a smallest node. Each round is a written table, so no lineage grows and a lost executor costs one round at most.
     """
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = None
-    while True:
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.xxhash64("b", "a") % 999_983)).first())
-        if now == state or not now[0]:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        state = now
+    while not _are_stars(edges):
         both = edges.union(edges.select("b", "a").toDF("a", "b"))
         least = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
         # larger neighbours to the smallest one
@@ -175,6 +185,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", "m"))
         edges = written(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, radius: int = 3) -> DataFrame:
