@@ -140,6 +140,22 @@ def fuzzy(kernel: str, a: Column, b: Column) -> Column:
     return _udf(kernel)(a, b)
 
 
+@lru_cache
+def _list_udf(kernel: str):
+    @F.pandas_udf(DoubleType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        f = KERNELS[kernel]
+        return pd.Series([max((f(x, y) for x in xs for y in ys), default=0.0) for xs, ys in zip(a, b)], dtype="float64")
+
+    return run
+
+
+def best_of_lists(kernel: str, a: Column, b: Column) -> Column:
+    """The greatest of a kernel over all pairs of two short lists, 0 where one is empty; lists with a common member need no
+    kernel."""
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.when(F.arrays_overlap(a, b), 1.0).otherwise(_list_udf(kernel)(a, b))).otherwise(0.0)
+
+
 @lru_cache
 def _name_scores():
     schema = "address double, core double, sorted double, weighted double, expanded double, partial double"

@@ -108,9 +108,9 @@ def distinctive_tokens(norm: Column, least: int = 3) -> Column:
     return F.filter(tokens(norm), lambda x: ~x.isin(*generic) & (F.length(x) >= least))
 
 
-def alias_parts(norm: Column) -> Column:
+def alias_parts(norm: Column, words: Sequence[str] = W.ALIAS_WORDS) -> Column:
     """The names around alias words, of three letters and more; empty where the name has no alias word."""
-    parts = F.split(norm, r"\b(?:" + "|".join(W.ALIAS_WORDS) + r")\b")
+    parts = F.split(norm, r"\b(?:" + "|".join(words) + r")\b")
     return F.when(F.size(parts) > 1, F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: F.length(x) >= 3)).otherwise(F.array().cast("array<string>"))
 
 
@@ -141,6 +141,18 @@ def first_postal(norm_address: Column) -> Column:
     return F.regexp_extract(norm_address, r"\b(\d{5,6})\b", 1)
 
 
+def postal_in_two_formats(norm_address: Column) -> Column:
+    """The first number of five digits, else of six that doesn't begin with 0."""
+    five, six = F.regexp_extract(norm_address, r"\b(\d{5})\b", 1), F.regexp_extract(norm_address, r"\b([1-9]\d{5})\b", 1)
+    return F.when(five != "", five).otherwise(six)
+
+
+def distinctive_address_words(norm_address: Column, n: int = 8) -> Column:
+    """The first n words of three letters and more that are neither common nor numbers, in their order, with repeats."""
+    common = W.generic_address_words_calibrated()
+    return F.slice(F.filter(tokens(norm_address), lambda x: (F.length(x) >= 3) & ~x.isin(*common) & ~x.rlike(r"^\d+$")), 1, n)
+
+
 def house_number(norm_address: Column, postal: Column) -> Column:
     """The first number of up to five digits and a letter that isn't the postal code."""
     return F.coalesce(F.get(F.filter(F.regexp_extract_all(norm_address, F.lit(r"\b(\d{1,5}[a-z]?)\b"), F.lit(1)), lambda x: x != postal), F.lit(0)), F.lit(""))

@@ -63,6 +63,22 @@ def cap_per_key(index: DataFrame, caps: dict[str, int]) -> DataFrame:
     return index.withColumn("rn", rank).where(F.col("rn") <= max(caps.values())).where(F.col("rn") <= most[F.col("route")]).drop("rn")
 
 
+def cap_with_aliases(index: DataFrame, caps: dict[str, int], alias_cap: int) -> DataFrame:
+    """As cap_per_key, but an alias (a core key past the first) joins a key only while it has fewer than alias_cap rows.
+
+    So the first alias_cap rows of any kind stay, and after them cores only, up to the cap. Both parts are rank filters, so
+    what is ranked again is a cap's rows for each key at most.
+    """
+    core = index.where("route = 'core'")
+    first = cap_per_key(core, {"core": alias_cap}).withColumn("early", F.lit(True))
+    cores = cap_per_key(core.where("pos = 0"), {"core": caps["core"]}).withColumn("early", F.lit(False))
+    own = first.union(cores).groupBy(*index.columns).agg(F.max("early").alias("early"))
+    late = F.row_number().over(Window.partitionBy("route", "key", "early").orderBy("ord", "pos"))
+    own = own.withColumn("rn", late).withColumn("n_early", F.count(F.when(F.col("early"), 1)).over(Window.partitionBy("route", "key")))
+    own = own.where(F.col("early") | (F.col("rn") <= caps["core"] - F.col("n_early"))).select(*index.columns)
+    return own.union(cap_per_key(index.where("route <> 'core'"), caps).select(*index.columns))
+
+
 def candidates(queries: DataFrame, targets: DataFrame, profile: Profile) -> DataFrame:
     """(s1_id, target_id, routes): distinct pairs of all routes, with the sorted names of the routes that found them.
 
@@ -71,7 +87,8 @@ def candidates(queries: DataFrame, targets: DataFrame, profile: Profile) -> Data
     """
     routes = [r for r in ROUTES if r in profile.caps]
     q = keys(queries, routes, True, profile.brand_words, profile.expanded).select("route", "key", "id").distinct()
-    index = cap_per_key(needed(keys(targets, routes, False, profile.brand_words, profile.expanded), q), profile.caps)
+    index = needed(keys(targets, routes, False, profile.brand_words, profile.expanded), q)
+    index = cap_with_aliases(index, profile.caps, profile.alias_cap) if profile.alias_cap else cap_per_key(index, profile.caps)
     pairs = q.withColumnRenamed("id", "s1_id").join(index.select("route", "key", F.col("id").alias("target_id")), ["route", "key"])
     return pairs.groupBy("s1_id", "target_id").agg(F.array_sort(F.collect_set("route")).alias("routes"))
 
@@ -115,6 +132,12 @@ def fair_quota(found: DataFrame, quotas: list[tuple[str, int]], total: int = 75)
     return own.select("s1_id", F.posexplode(ids).alias("place", "target_id")).select("s1_id", "target_id", (F.col("place") + 1).alias("place"))
 
 
+def ranking_score(similarity: Column, number_bonus: float = 0.0, empty: float = 0.0) -> Column:
+    """What a query's candidates are cut by, from 0 to 100 and the bonus for an equal number; `empty` where a core is missing."""
+    c = F.col
+    return F.when((c("s_core") == "") | (c("t_core") == ""), empty).otherwise(100 * similarity) + F.when(c("nm"), number_bonus).otherwise(0.0)
+
+
 def top_by_similarity(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
     """The k best targets of each query by score, then id."""
     rank = F.row_number().over(Window.partitionBy("s1_id").orderBy(F.desc(score), "target_id"))
@@ -128,7 +151,8 @@ def with_rank_and_pool(pairs: DataFrame) -> DataFrame:
 
 
 def incremental_recall(gold: DataFrame, found: DataFrame, order: list[str]) -> DataFrame:
-    """(step, route, captured, total): gold pairs found by the first routes of the order, added one by one."""
+    """(step, route, captured, total, recall, gain): gold pairs found by the first routes of the order, added one by one;
+    gain: what their recall adds to the first route's, in points."""
     place = F.create_map(*(F.lit(x) for i, r in enumerate(order) for x in (r, i + 1)))
     first = found.withColumn("step", place[F.col("route")]).groupBy("s1_id", "target_id").agg(F.min("step").alias("step"))
     hit = gold.where("target_id is not null").join(first, ["s1_id", "target_id"], "left").groupBy("step").agg(F.count("*").alias("n"))
@@ -138,4 +162,7 @@ def incremental_recall(gold: DataFrame, found: DataFrame, order: list[str]) -> D
     full = steps.join(hit.where("step is not null"), "step", "left").fillna(0, ["n"])
     total = hit.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     running = F.sum("n").over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
-    return full.select("step", "route", running.alias("captured")).join(F.broadcast(total))
+    out = full.select("step", "route", running.alias("captured")).join(F.broadcast(total))
+    first = F.first("captured").over(Window.orderBy("step"))
+    share = lambda x: F.when(F.col("total") > 0, x / F.col("total")).otherwise(0.0)
+    return out.withColumn("recall", share(F.col("captured"))).withColumn("gain", 100 * share(F.col("captured") - first))

@@ -92,6 +92,15 @@ def entity_aggregate(pairs: DataFrame, columns: list[str]) -> DataFrame:
     return pairs.groupBy("s1_id").agg(*aggs)
 
 
+#: The pair features that the entity gate sees the greatest three of.
+GATE_FEATURES = ["name_strength", "addr_strength", "name_x_addr", "token_sort", "token_set", "core_exact", "char_ngram_jaccard", "max_shared_idf", "postal_match", "num_match", "country_rel"]
+
+
+def entity_gate_features(ids: DataFrame, pairs: DataFrame) -> DataFrame:
+    """By query id the 25 aggregates of entity_aggregate over GATE_FEATURES; queries without pairs have 0s."""
+    return ids.select("s1_id").join(entity_aggregate(pairs, GATE_FEATURES), "s1_id", "left").fillna(0)
+
+
 def gate_features(ids: DataFrame, scored: DataFrame, prob: str = "prob") -> DataFrame:
     """By query id: p_max, p_2nd, gap, top3_sum, n, n_over (> 0.3), empty; queries without pairs have 0s and empty 1."""
     top = F.sort_array(F.collect_list(prob), asc=False)

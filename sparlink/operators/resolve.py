@@ -24,6 +24,10 @@ def gate(owned: DataFrame, kind: str, score: float, address: float) -> DataFrame
 
     lone: below both limits. signals: also below 0.84 with fewer than two of (pm, nm, a_sim >= 0.65), or a short core below
     0.87 likewise, if the score is below 0.90. blank_address: below both limits, or a blank target address below 0.95.
+    short: fewer than two of those signs, and below the score limit or a core of fewer than five letters. The other kinds
+    look at all links of a query. blank_targets: all targets lack an address though the query has one and its core is one
+    word of fewer than 18 letters (both told by the column s_short); after that as lone. fuzzy_only: no score above the
+    limit and no address similarity of the other limit or more.
     """
     c = F.col
     w = with_count(owned)
@@ -32,7 +36,16 @@ def gate(owned: DataFrame, kind: str, score: float, address: float) -> DataFrame
         "none": F.lit(False), "lone": (c("score") < score) & (c("a_sim") < address),
         "signals": (c("score") < 0.90) & few & ((c("score") < 0.84) | (c("core_len") < 5) & (c("score") < 0.87)),
         "blank_address": (c("score") < score) & (c("a_sim") < address) | c("t_blank") & (c("score") < 0.95),
-    }[kind]
+        "short": few & ((c("score") < score) | (c("core_len") < 5)),
+    }
+    own = Window.partitionBy("s1_id")
+    if kind == "blank_targets":
+        w = w.withColumn("_blank", F.min("t_blank").over(own)).where(~(c("_blank") & c("s_short"))).drop("_blank")
+        return w.where(~((c("n") == 1) & weak["lone"])).drop("n")
+    if kind == "fuzzy_only":
+        w = w.withColumn("_best", F.max("score").over(own)).withColumn("_near", F.max("a_sim").over(own))
+        return w.where(~((c("_best") <= score) & (c("_near") < address))).drop("n", "_best", "_near")
+    weak = weak[kind]
     return w.where(~((c("n") == 1) & weak)).drop("n")
 
 

@@ -22,7 +22,7 @@ def evidence(pairs: DataFrame) -> DataFrame:
     c = F.col
     return pairs.withColumns({
         "pm": S.matches(c("s_postal"), c("t_postal")), "nm": S.matches(c("s_num"), c("t_num")), "pc": S.conflicts(c("s_postal"), c("t_postal")), "nc": S.conflicts(c("s_num"), c("t_num")),
-        "overlap": S.overlap(c("s_dist_addr"), c("t_dist_addr")), "has_s": c("s_clean_addr") != "", "has_t": c("t_clean_addr") != ""}).withColumn("both_addr", c("has_s") & c("has_t"))
+        "overlap": F.size(F.filter("t_dist_addr", lambda x: F.array_contains(c("s_dist_addr"), x))), "has_s": c("s_clean_addr") != "", "has_t": c("t_clean_addr") != ""}).withColumn("both_addr", c("has_s") & c("has_t"))
 
 
 def country_compatible() -> Column:

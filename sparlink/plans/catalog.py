@@ -4,7 +4,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
@@ -20,6 +20,7 @@ from ..operators import scoring as SC
 from ..operators import tfidf as TF
 from ..operators.prepare import prepare
 from ..sources import entities as E
+from . import composite as CO
 from . import learned as LE
 from . import resolution as RS
 from .profiles import EXACT, PROFILES, V6
@@ -105,6 +106,33 @@ def fixture_entities(f: Fixture) -> DataFrame:
     return f.entities.select("entity_id", "name", "address", "country", "cid", _long(C("source")).alias("source"))
 
 
+def _file(f: Fixture, sep: str, **columns: Column) -> str:
+    """The fixture's entities as delimited files in the shared folder."""
+    path = G.shared_path(f.spark, "scan")
+    f.entities.select(*(v.alias(k) for k, v in columns.items())).write.csv(path, sep=sep, header=True, quote="" if sep == "\t" else '"', emptyValue="")
+    return path
+
+
+def _plain() -> dict[str, Column]:
+    return {k: C(k) for k in ("entity_id", "name", "address", "country")}
+
+
+@query
+def scan_entities(f: Fixture) -> DataFrame:
+    return E.scan_lines(f.spark, _file(f, "\t", **_plain()))
+
+
+@query
+def scan_quoted(f: Fixture) -> DataFrame:
+    """Names with a comma inside come back whole."""
+    return E.scan_named(f.spark, _file(f, ",", entity_id=C("entity_id"), entity_name=F.concat("name", F.lit(", x")), address=C("address"), country_code=C("country"), zip=_long(C("cid")).cast("string"))).drop("phone")
+
+
+@query
+def scan_sniffed(f: Fixture) -> DataFrame:
+    return E.scan_sniffed(f.spark, _file(f, "\t", home_country=C("country"), full_name=C("name"), record_id=C("entity_id"), addr_line=C("address")))
+
+
 @query
 def scan_targets_union(f: Fixture) -> DataFrame:
     e = f.entities.select("entity_id", "name", "address", "country", "doc_id")
@@ -139,8 +167,12 @@ def repair_candidates(f: Fixture) -> DataFrame:
 
 @query
 def fold_map(f: Fixture) -> DataFrame:
-    one = f.ids.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("s1_id", (F.length("s1_id") % 5).cast("int").alias("v"))))).alias("value"))
-    return one.select(F.explode(F.from_json("value", "map<string,int>")).alias("s1_id", "fold")).select("s1_id", _long(C("fold")).alias("fold"))
+    """Folds as JSON objects in several files, scanned again."""
+    part = F.pmod(F.xxhash64("s1_id"), F.lit(16)).cast("int").alias("part")
+    objects = f.ids.groupBy(part).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("s1_id", (F.length("s1_id") % 5).cast("int").alias("v"))))).alias("value"))
+    path = G.shared_path(f.spark, "folds")
+    objects.write.partitionBy("part").text(path)
+    return E.fold_map(f.spark, f"{path}/*").select("s1_id", _long(C("fold")).alias("fold"))
 
 
 # --- text ---
@@ -160,7 +192,7 @@ _text("non_ascii_name", non_ascii=lambda: C("non_ascii"), latin=lambda: X.is_lat
 _text("address_parts", postal=lambda: C("postal"), num=lambda: C("num"), clean=lambda: C("clean_addr"), dist=lambda: _joined(C("dist_addr")))
 _text("address_parts_simple", postal=lambda: F.regexp_extract("address", r"(\d{5,6})", 1), num=lambda: F.regexp_extract("address", r"\b(\d{1,5})\b", 1),
       first_digits=lambda: F.regexp_replace(F.regexp_extract("norm_addr", r"(\d+)", 1), "^0+", ""), street=lambda: F.regexp_extract("address", r"^\s*(\d+)", 1))
-_text("address_v5", postal=lambda: F.regexp_extract("norm_addr", r"\b(\d{5})\b", 1), tokens=lambda: _joined(F.slice(F.filter(X.tokens(C("norm_addr")), lambda x: ~x.isin(*X.W.generic_address_words()) & ~x.rlike(r"^\d+$") & (F.length(x) >= 3)), 1, 8)))
+_text("address_v5", postal=lambda: X.postal_in_two_formats(F.when(C("doc_id") % 7 == 0, F.concat("norm_addr", F.lit(" 560001 012345"))).otherwise(C("norm_addr"))), tokens=lambda: _joined(X.distinctive_address_words(C("norm_addr"))))
 _text("composite_text", core=lambda: X.composite_core(C("name")), aliases=lambda: _joined(X.composite_aliases(C("name"))), cc=lambda: X.composite_country(C("address"), C("country")),
       **{k: (lambda k=k: X.composite_fields(C("address"), C("postal"), F.concat(F.lit("+1 (555) 010-"), (1000 + C("doc_id")).cast("string")))[k]) for k in ("street", "postal", "phone")})
 _text("address_clean_parts", postal=lambda: X.address_clean_parts(C("norm_addr"))[0], num=lambda: X.address_clean_parts(C("norm_addr"))[1])
@@ -182,6 +214,13 @@ _text("soundex_key", code=lambda: X.soundex_code(F.coalesce(F.get("core_toks", F
 _text("prepare_record", norm=lambda: C("norm"), core=lambda: C("core"), sorted_key=lambda: C("sorted_key"), concat_key=lambda: C("concat_key"), postal=lambda: C("postal"), num=lambda: C("num"), cc=lambda: C("cc"), cat=lambda: _long(C("cat")))
 
 
+@query
+def prepare_v5(f: Fixture) -> DataFrame:
+    got = prepare(f.entities, "calibrated")
+    return got.select("entity_id", "norm", "core", "sorted_key", "concat_key", "cc", "postal", "num", "num_prefix", "post_prefix", "post_prefix4", _joined(C("addr_keys")).alias("addr_keys"), _joined(C("brand")).alias("brand"),
+                      _joined(C("dist_addr")).alias("dist_addr"), _joined(C("aliases")).alias("aliases"), _long(C("cat")).alias("cat"))
+
+
 @query
 def domain_token(f: Fixture) -> DataFrame:
     return f.table("pages").select("page_id", X.domain_token(C("url")).alias("token"))
@@ -220,8 +259,10 @@ for _r, _cap in (V6.caps | {"post_prefix4": 20, "city_num": 20, "char4": 15, "po
 
 @query
 def route_domain(f: Fixture) -> DataFrame:
-    p = f.table("pages").select("page_id", X.domain_token(C("url")).alias("k")).where("k <> ''")
-    return p.select(C("page_id").alias("a"), "k").join(p.select(C("page_id").alias("b"), "k"), "k").where("a < b").select("a", "b")
+    """Every page against the first 20 of its domain, as the route's cap has it."""
+    p = f.table("pages").select(F.lit("domain").alias("route"), X.domain_token(C("url")).alias("key"), C("page_id").alias("id"), C("page_id").alias("ord"), F.lit(0).alias("pos")).where("key <> ''")
+    index = B.cap_per_key(p, {"domain": 20}).select("key", C("id").alias("b"))
+    return p.select(C("id").alias("a"), "key").join(index, "key").where("a <> b").select("a", "b")
 
 
 @query
@@ -279,7 +320,9 @@ def route_union(f: Fixture) -> DataFrame:
 @query
 def incremental_recall(f: Fixture) -> DataFrame:
     got = B.incremental_recall(f.gold, f.found, list(EXACT.caps))
-    return got.select(_long(C("step")).alias("step"), "route", "captured", "total")
+    pool = f.exact.candidates.agg(F.count("*").alias("pairs")).join(F.broadcast(f.ids.agg(F.count("*").alias("n"))))  # one row each
+    got = got.join(F.broadcast(pool.select((C("pairs") / C("n")).alias("mean"))))
+    return got.select(_long(C("step")).alias("step"), "route", "captured", "total", F.round("recall", 6).alias("recall"), F.round("gain", 6).alias("gain"), F.round("mean", 6).alias("mean_candidates"))
 
 
 @query
@@ -322,7 +365,7 @@ def global_truncate(f: Fixture) -> DataFrame:
 
 @query
 def top_by_similarity(f: Fixture) -> DataFrame:
-    p = f.pairs.withColumn("score", F.round(S.fuzzy("ratio", C("s_core"), C("t_core")), 9))
+    p = f.pairs.withColumn("score", F.round(B.ranking_score(S.fuzzy("ratio", C("s_core"), C("t_core")), 25.0, 50.0), 9))
     return B.top_by_similarity(p, 5).select("s1_id", "target_id", "score", _long(C("rank")).alias("rank"))
 
 
@@ -376,6 +419,20 @@ for _p in PROFILES:
     _profile(_p)
 
 
+@query
+def resolve_v7(f: Fixture) -> DataFrame:
+    """Gram retrieval, the composite profile's routes and score, owners and gate."""
+    e = f.entities.withColumn("postal_code", F.regexp_extract("address", r"(\d{5})$", 1))
+    got = CO.resolve_composite(e.where("source = 1"), e.where("source > 1")).matches
+    return got.select("s1_id", "target_id", F.round("score", 9).alias("score"), F.round("a_sim", 9).alias("a_sim"), "pm", "nm")
+
+
+@query
+def routes_v7(f: Fixture) -> DataFrame:
+    e = f.entities.withColumn("postal_code", F.regexp_extract("address", r"(\d{5})$", 1))
+    return CO.routed(CO.records(e.where("source = 1")), CO.records(e.where("source > 1"))).distinct()
+
+
 @query
 def composite_score(f: Fixture) -> DataFrame:
     return SC.composite_score(f.pairs).select("s1_id", "target_id", F.round("composite", 6).alias("composite"))
@@ -406,6 +463,23 @@ def gate_blank_address(f: Fixture) -> DataFrame:
     return R.gate(f.exact.owned, "blank_address", 0.84, 0.65).select("s1_id", "target_id")
 
 
+@query
+def gate_short(f: Fixture) -> DataFrame:
+    return R.gate(f.exact.owned, "short", 0.94, 0.65).select("s1_id", "target_id")
+
+
+@query
+def gate_blank_targets(f: Fixture) -> DataFrame:
+    """Here every query with an even id counts as one with an address and a short core."""
+    owned = f.exact.owned.withColumn("s_short", C("s_ord") % 2 == 0)
+    return R.gate(owned, "blank_targets", 0.93, 0.65).select("s1_id", "target_id")
+
+
+@query
+def gate_fuzzy_only(f: Fixture) -> DataFrame:
+    return R.gate(f.exact.owned, "fuzzy_only", 0.92, 0.80).select("s1_id", "target_id")
+
+
 @query
 def gate_probability(f: Fixture) -> DataFrame:
     return R.gate_by_probability(f.exact.owned, 0.94, "score").select("s1_id", "target_id")
@@ -515,14 +589,14 @@ def blocking_recall(f: Fixture) -> DataFrame:
 
 @query
 def blocking_gaps(f: Fixture) -> DataFrame:
-    routes = ["core", "sorted", "num_prefix", "post_num"]
+    routes = list(EXACT.caps)  # all eight
     flags = A.route_flags(f.s1, f.targets, f.gold, routes)
     return A.blocking_gaps(flags, f.gold_records, routes)
 
 
 @query
 def route_flags(f: Fixture) -> DataFrame:
-    return A.route_flags(f.s1, f.targets, f.gold, ["core", "sorted", "concat", "num_prefix", "post_num"])
+    return A.route_flags(f.s1, f.targets, f.gold, list(EXACT.caps))
 
 
 @query
@@ -617,16 +691,24 @@ def _learned(f: Fixture):
     """Training rows of the compact kind with labels, and the columns the model takes."""
     cols = ["core_exact", "sorted_exact", "name_token_jaccard", "brand_overlap_count", "addr_dist_jaccard", "postal_match", "num_match", "country_rel"]
     p = FE.native_features(B.with_rank_and_pool(f.pairs)).select("s1_id", "target_id", "s_ord", "nm", *cols)
-    return FE.training_pairs(p, f.gold, 10), cols
+    return G.written(FE.training_pairs(p, f.gold, 10)), cols
 
 
 @query
 def gbt_train_score(f: Fixture) -> DataFrame:
     rows, cols = _learned(f)
-    rows = rows.persist()
     return L.predict(L.train(rows, cols, trees=5, depth=3), rows).select("s1_id", "target_id", "label", "prob")
 
 
+@query
+def gbt_early_stopping(f: Fixture) -> DataFrame:
+    """Trees are added until the rows of every fifth query, which don't teach, get no better."""
+    rows, cols = _learned(f)
+    rows = rows.withColumn("held_out", F.pmod(F.xxhash64("s1_id"), F.lit(5)) == 0)
+    model = L.train(rows, cols, trees=30, depth=3, validation="held_out")
+    return L.predict(model, rows).select("s1_id", "target_id", "label", "held_out", "prob")
+
+
 @query
 def resolve_learned(f: Fixture) -> DataFrame:
     """Trained on four of five folds, its threshold chosen on the other, applied to all."""
@@ -638,13 +720,16 @@ def resolve_learned(f: Fixture) -> DataFrame:
 @query
 def feature_importance(f: Fixture) -> DataFrame:
     rows, cols = _learned(f)
-    return L.importances(L.train(rows.persist(), cols, trees=3, depth=3), f.spark)
+    return L.importances(L.train(rows, cols, trees=3, depth=3), f.spark)
 
 
 @query
 def entity_gate_model(f: Fixture) -> DataFrame:
-    g = FE.gate_features(f.ids, f.exact.scored, "score").join(f.gold.groupBy("s1_id").agg((F.count("target_id") == 0).cast("int").alias("label")), "s1_id").persist()
-    return L.predict(L.train(g, ["p_max", "p_2nd", "gap", "top3_sum", "n", "n_over", "empty"], trees=5, depth=3), g, "p_singleton").select("s1_id", "label", "p_singleton")
+    """The 25 aggregates of pair features; taught by four of five queries, told for all."""
+    got = FE.entity_gate_features(f.ids, FE.all_features(B.with_rank_and_pool(f.pairs)))
+    got = got.join(f.gold.groupBy("s1_id").agg((F.count("target_id") == 0).cast("int").alias("label")), "s1_id").withColumn("held_out", F.pmod(F.xxhash64("s1_id"), F.lit(5)) == 0)
+    got, cols = G.written(got), [c for c in got.columns if c not in ("s1_id", "label", "held_out")]
+    return L.predict(L.train(got.where("not held_out"), cols, trees=5, depth=3), got, "p_singleton").select("s1_id", "label", "held_out", "p_singleton")
 
 
 @query
@@ -688,11 +773,9 @@ def gate_three_way(f: Fixture) -> DataFrame:
 @query
 def order_check(f: Fixture) -> DataFrame:
     """Lines of a result whose ids aren't the source's in order: here one id is missing."""
-    w = Window.orderBy("s1_id")  # places of a fixture's lines; files bring theirs
-    source = f.ids.withColumn("line_no", F.row_number().over(w).cast("long"))
+    source = E.numbered(f.ids, "s1_id")
     gone = source.where("line_no = 6").select("s1_id")
-    result = f.ids.join(gone, "s1_id", "left_anti").withColumn("line_no", F.row_number().over(w).cast("long"))
-    return A.order_matches(result, source)
+    return A.order_matches(E.numbered(f.ids.join(gone, "s1_id", "left_anti"), "s1_id"), source)
 
 
 @query
@@ -707,7 +790,6 @@ def report(f: Fixture) -> DataFrame:
 def model_round_trip(f: Fixture) -> DataFrame:
     """Scores of a model that was saved and loaded again, beside those of the model itself."""
     rows, cols = _learned(f)
-    rows = rows.persist()
     model = L.train(rows, cols, trees=3, depth=3)
     again = L.saved_and_loaded(model, G.shared_path(f.spark, "model"))
     a = L.predict(model, rows).select("s1_id", "target_id", "prob")

@@ -109,6 +109,13 @@ links as (select * from gold where target_id is not null)"""
 _CITY = f"coalesce(list_filter(atoks, lambda v: length(v) >= 4 and not list_contains({_list(W.generic_address_words())}, v) and not regexp_matches(v, '^\\d+$'))[-1], '')"
 
 
+def soundex(x: str) -> str:
+    u = f"upper({x})"
+    d = f"translate({u}, 'BFPVCGJKQSXZDTLMNRAEIOUYHW', '11112222222233455600000000')"
+    kept = f"list_transform(list_filter(range(2, length({x}) + 1), lambda i: substr({d}, i, 1) <> '0' and substr({d}, i, 1) <> substr({d}, i - 1, 1)), lambda i: substr({d}, i, 1))"
+    return f"(case when regexp_full_match({u}, '[A-Z]+') then rpad(substr({u}, 1, 1) || coalesce(array_to_string(list_slice({kept}, 1, 3), ''), ''), 4, '0') else '' end)"
+
+
 def route_list(route: str, query: bool, brand_words: int = 6, expanded: bool = True) -> str:
     first = "coalesce(core_toks[1], '')"
     return {
@@ -117,6 +124,7 @@ def route_list(route: str, query: bool, brand_words: int = 6, expanded: bool = T
         "sorted": "[sorted_key]", "concat": "[case when length(concat_key) >= 5 then concat_key else '' end]", "num_prefix": "[num_prefix]", "post_prefix": "[post_prefix]", "post_num": "[post_num]",
         "pfx4_country": "[pfx4_country]", "bigram": "[bigram]", "post_prefix4": "[post_prefix4]", "addr_key": "addr_keys", "phone": "phones_raw", "char4": "[prefix4]",
         "city_num": f"[{both(_CITY, 'num')}]", "post_dist": f"[{both('postal', 'coalesce(dist_addr[1], ' + chr(39) * 2 + ')')}]",
+        "soundex": f"[{soundex(first)}]",
         "first_prefix5": f"[case when length({first}) >= 4 then substr({first}, 1, 5) else '' end]", "first_prefix4": f"[case when length({first}) >= 4 then substr({first}, 1, 4) else '' end]",
     }[route]
 
@@ -208,6 +216,9 @@ def _rec(name: str, **columns: str) -> None:
 
 _add("fixture_entities", "select entity_id, name, address, country, cid, source from ent")
 _add("scan_targets_union", "select entity_id, source, source * 1099511627776 + doc_id as ord from ent where source > 1")
+_add("scan_entities", "select entity_id, name, address, country from ent")
+_add("scan_sniffed", "select entity_id, name, address, country from ent")
+_add("scan_quoted", "select entity_id, name || ', x' as name, address, country, cid::varchar as postal_code from ent")
 _add("gold_explode", "select s1_id, target_id from gold")
 _add("sink_matches", "select s1_id, coalesce(string_agg(distinct target_id, ',' order by target_id), '') as matched_entity_ids from ids left join matches using (s1_id) group by s1_id", SCORED)
 _add("sink_candidates", "select s1_id, coalesce(string_agg(distinct target_id, ',' order by target_id), '') as candidate_entity_ids from ids left join cand using (s1_id) group by s1_id", SCORED)
@@ -230,7 +241,9 @@ _rec("non_ascii_name", non_ascii="non_ascii", latin=r"not regexp_matches(name, '
 _rec("address_parts", postal="postal", num="num", clean="clean_addr", dist=pipe("dist_addr"))
 _rec("address_parts_simple", postal=r"regexp_extract(address, '(\d{5,6})', 1)", num=r"regexp_extract(address, '\b(\d{1,5})\b', 1)", first_digits=r"regexp_replace(regexp_extract(norm_addr, '(\d+)', 1), '^0+', '')",
      street=r"regexp_extract(address, '^\s*(\d+)', 1)")
-_rec("address_v5", postal=r"regexp_extract(norm_addr, '\b(\d{5})\b', 1)", tokens=pipe(f"list_slice(list_filter(atoks, lambda v: length(v) >= 3 and not list_contains({_list(W.generic_address_words())}, v) and not regexp_matches(v, '^\\d+$')), 1, 8)"))
+_V5_POSTAL = r"(case when regexp_extract({0}, '\b(\d{{5}})\b', 1) <> '' then regexp_extract({0}, '\b(\d{{5}})\b', 1) else regexp_extract({0}, '\b([1-9]\d{{5}})\b', 1) end)"
+_V5_DIST = f"list_slice(list_filter(atoks, lambda v: length(v) >= 3 and not list_contains({_list(W.generic_address_words_calibrated())}, v) and not regexp_matches(v, '^\\d+$')), 1, 8)"
+_rec("address_v5", postal=_V5_POSTAL.format("(norm_addr || case when doc_id % 7 = 0 then ' 560001 012345' else '' end)"), tokens=pipe(_V5_DIST))
 _CFULL = f"array_to_string(list_transform({toks(punct('name'))}, lambda v: coalesce({_map(W.COMPOSITE_ABBREVIATIONS)}[v], v)), ' ')"
 _CCORE = f"array_to_string({without(f'string_split({_CFULL}, chr(32))', sorted({*W.COMPOSITE_LEGAL, *W.COMPOSITE_GENERIC}))}, ' ')"
 _CIN = "case " + " ".join(f"when contains({punct('address')}, '{k}') then '{v}'" for k, v in W.COMPOSITE_COUNTRIES.items()) + " else '' end"
@@ -247,6 +260,22 @@ _rec("address_raw_parts", postal=_POST, num=rf"case when {_WORDNO} <> '' then {_
 _STREETNO = r"regexp_extract(norm_addr, '\b(\d{1,5})\s+(?:[a-z]+\s+)?(?:st|street|rd|road|ave|avenue|blvd|lane|dr|drive|way|court|ct|boulevard|rue|all|imp)\b', 1)"
 _AFTER = r"regexp_extract(norm_addr, '\b(?:no|hno|plot|shop|flat|door)\s*(\d+)\b', 1)"
 _rec("street_number", num=rf"case when regexp_extract(norm_addr, '^(\d+)\b', 1) <> '' then regexp_extract(norm_addr, '^(\d+)\b', 1) when {_AFTER} <> '' then {_AFTER} else {_STREETNO} end")
+_NINE = [".com", ".in", ".org", ".net", ".co", ".io", ".fr", ".co.uk", ".eu"]
+_V5_ALIAS = "\\b(?:aka|dba|fka|doing business as|trading as)\\b"
+_V5_IN = " + ".join(f"(case when {' or '.join(f'contains(norm, {chr(39)}{w}{chr(39)})' for w in ws)} then {1 << i} else 0 end)" for i, ws in enumerate(W.CATEGORY_PARTS))
+ORACLES["prepare_v5"] = f"""with {FIXTURE},
+a as (select entity_id, {norm('name', _NINE)} as norm, {norm('address', _NINE)} as norm_addr, {norm('country', _NINE)} as cc from ent),
+b as (select *, {without(toks('norm'), W.LEGAL_CALIBRATED)} as core_toks, {toks('norm_addr')} as atoks, {_V5_POSTAL.format('norm_addr')} as postal,
+  case when regexp_extract(norm_addr, '^(\\d+)\\b', 1) <> '' then regexp_extract(norm_addr, '^(\\d+)\\b', 1) when {_AFTER} <> '' then {_AFTER} else {_STREETNO} end as num from a),
+c as (select *, coalesce(array_to_string(core_toks, ' '), '') as core, {_V5_DIST} as dist from b),
+d as (select *, case when length(core) >= 3 then substr(core, 1, 3) else '' end as p3, case when length(core) >= 4 then substr(core, 1, 4) else '' end as p4 from c)
+select entity_id, norm, core, coalesce(array_to_string(list_sort(core_toks), ' '), '') as sorted_key, coalesce(array_to_string(core_toks, ''), '') as concat_key, cc, postal, num,
+  {both('num', 'substr(postal, 1, 3)')} as num_prefix, {both('postal', 'p3')} as post_prefix, {both('postal', 'p4')} as post_prefix4,
+  case when postal <> '' and num <> '' and p3 <> '' then num || '_' || postal || '_' || p3 else '' end as addr_keys,
+  {pipe(f"list_slice(list_filter(core_toks, lambda v: length(v) >= 4 and not list_contains({_list(W.generic_words_calibrated())}, v)), 1, 5)")} as brand, {pipe('dist')} as dist_addr,
+  case when len(string_split_regex(norm, '{_V5_ALIAS}')) > 1 then {pipe(f"list_filter(list_transform(string_split_regex(norm, '{_V5_ALIAS}'), lambda v: trim(v)), lambda v: length(v) >= 3)")} else '' end as aliases,
+  cast({_V5_IN} as bigint) as cat from d"""
+_rec("soundex_key", code=soundex("coalesce(core_toks[1], '')"))
 _rec("phone_tokens", phones=pipe(phones("name || ' +1 (555) 010-' || (1000 + doc_id)::varchar")))
 _rec("prefix_key", p3="prefix3", p4="prefix4")
 _rec("first_token_prefix", **{f"p{n}": f"case when length(coalesce(core_toks[1], '')) >= {least} then substr(core_toks[1], 1, {n}) else '' end" for n, least in ((5, 4), (4, 4), (3, 1))})
@@ -273,7 +302,7 @@ _rec("prepare_record", norm="norm", core="core", sorted_key="sorted_key", concat
 _dom = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(" + fold("url") + r"), '^https?://', ''), '^[^@/]*@', ''), '^(www|m)\.', ''), '/.*$', ''), '\.[a-z.]+$', ''), '[^a-z0-9]', '', 'g')"
 _DOMAIN = f"pg as (select page_id, case when length({_dom}) >= 4 then {_dom} else '' end as token from pages)"
 ORACLES["domain_token"] = f"with {_DOMAIN} select page_id, token from pg"
-ORACLES["route_domain"] = f"with {_DOMAIN} select a.page_id as a, b.page_id as b from pg a join pg b on a.token = b.token and a.page_id < b.page_id where a.token <> ''"
+ORACLES["route_domain"] = f"with {_DOMAIN}, ix as (select * from (select *, row_number() over (partition by token order by page_id) as rn from pg where token <> '') where rn <= 20) select a.page_id as a, b.page_id as b from pg a join ix b on a.token = b.token and a.page_id <> b.page_id"
 
 
 def _gp(name: str, **columns: str) -> None:
@@ -290,7 +319,7 @@ _gp("country_relation", fe="cast(case when s_cc = '' or t_cc = '' then -1 when s
 ORACLES["cosine_embeddings"] = """with e as (select vec_id as id, list_transform(embedding, lambda x: x::double) as v from embeddings),
 c as (select q.id as q, e.id as t, list_dot_product(q.v, e.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(e.v, e.v)) as cos from e q, e where q.id % 100 = 0 and q.id <> e.id),
 r as (select *, row_number() over (partition by q order by round(cos, 9) desc, t) as rank from c) select q, t, round(cos, 6) as cos, rank from r where rank <= 10"""
-for _r, _cap in (V6.caps | {"post_prefix4": 20, "city_num": 20, "char4": 15, "post_dist": 20, "first_prefix5": 20, "first_prefix4": 100}).items():
+for _r, _cap in (V6.caps | {"post_prefix4": 20, "city_num": 20, "char4": 15, "post_dist": 20, "first_prefix5": 20, "first_prefix4": 100, "soundex": 150}).items():
     _add(f"route_{_r}", "select distinct s1_id, target_id from found", found({_r: _cap}))
 _add("route_rare_token", "select distinct a.id as s1_id, b.id as target_id from rw a join (select * from ri where rn <= 200) b using (key)",
      "rw as (select entity_id as id, ord, unnest(list_distinct(list_filter(core_toks, lambda v: length(v) >= 4))) as key from rec where source = 1)",
@@ -312,7 +341,7 @@ _add("needed_keys", "select route, count(*) as n_keys, count(distinct id) as n_t
 _add("cap_per_key", "select route, key, id from (select *, row_number() over (partition by route, key order by ord, pos) as rn from bk) where rn <= 3", keys("bk", ["brand"], False))
 ORACLES["part_brand_cap"] = "select p_name as key, p_partkey as id from (select *, row_number() over (partition by p_name order by p_partkey) as rn from part) where rn <= 5"
 _add("route_union", f"select s1_id, target_id, {pipe('routes')} as routes from cand", PAIRS)
-_add("incremental_recall", "select step, route, captured, total from st2",
+_add("incremental_recall", "select step, route, captured, total, round(captured / total, 6) as recall, round(100 * (captured - first_value(captured) over (order by step)) / total, 6) as gain, round((select count(*) from cand) / (select count(*) from ids), 6) as mean_candidates from st2",
      PAIRS, f"ro as (select unnest({_list(EXACT.caps)}) as route, generate_subscripts({_list(EXACT.caps)}, 1) as step)",
      "fs as (select l.s1_id, l.target_id, min(step) as step from links l left join (select * from found join ro using (route)) using (s1_id, target_id) group by all)",
      "st2 as (select cast(ro.step as bigint) as step, route, (select count(*) from fs where fs.step <= ro.step) as captured, (select count(*) from fs) as total from ro)")
@@ -339,6 +368,9 @@ _add("gate_lone", "select s1_id, target_id from ownedn where not (n = 1 and scor
 _FEW = "(pm::int + nm::int + (a_sim >= 0.65)::int < 2)"
 _add("gate_signals", f"select s1_id, target_id from ownedn where not (n = 1 and score < 0.90 and {_FEW} and (score < 0.84 or (core_len < 5 and score < 0.87)))", SCORED)
 _add("gate_blank_address", "select s1_id, target_id from ownedn where not (n = 1 and ((score < 0.84 and a_sim < 0.65) or (t_blank and score < 0.95)))", SCORED)
+_add("gate_short", f"select s1_id, target_id from ownedn where not (n = 1 and {_FEW} and (score < 0.94 or core_len < 5))", SCORED)
+_add("gate_blank_targets", "select s1_id, target_id from (select *, bool_and(t_blank) over (partition by s1_id) as blank from ownedn) where not (blank and s_ord % 2 = 0) and not (n = 1 and score < 0.93 and a_sim < 0.65)", SCORED)
+_add("gate_fuzzy_only", "select s1_id, target_id from (select *, max(score) over (partition by s1_id) as best, max(a_sim) over (partition by s1_id) as near from ownedn) where not (best <= 0.92 and near < 0.80)", SCORED)
 _add("gate_probability", "select s1_id, target_id from ownedn where not (n = 1 and score < 0.94)", SCORED)
 _add("confidence_gate", "select s1_id, target_id from owned semi join ok using (s1_id)", SCORED,
      "ok as (select s1_id from owned group by s1_id having max(score) >= 0.95 or (max(score) >= 0.85 and arg_max(nm, row(score, target_id))))")
@@ -366,7 +398,7 @@ _add("macro_f05", "select round(avg(f), 6) as macro_f05, round(coalesce(avg(f) f
 _add("f_of_means", "select round(p, 6) as p, round(r, 6) as r, round(case when p + r > 0 then 1.25 * p * r / (0.25 * p + r) else 0 end, 6) as f05 from (select avg(case when n_pred = 0 then (n_gold = 0)::int else n_tp / n_pred end) as p, avg(case when n_gold = 0 then (n_pred = 0)::int else n_tp / n_gold end) as r from cnt)", SCORED, counts("matches"))
 _add("blocking_recall", "select sum(n_gold)::bigint as links, sum(n_tp)::bigint as captured, round(avg(n_pred), 6) as mean_pool, count(*) filter (where n_gold > 0 and n_tp = n_gold) as full, count(*) filter (where n_gold > 0 and n_tp > 0 and n_tp < n_gold) as part from cnt", PAIRS, counts("cand"))
 _add("error_taxonomy", "select case when n_gold = 0 and n_pred > 0 then 'missed_singleton' when n_gold > 0 and n_pred = 0 then 'false_singleton' when n_gold = n_tp and n_pred = n_tp then 'perfect' when n_tp > 0 then 'partial' else 'zero' end as kind, count(*) as n from cnt group by 1", SCORED, counts("matches"))
-_rf = ["core", "sorted", "concat", "num_prefix", "post_num"]
+_rf = list(EXACT.caps)
 _add("route_flags", "select l.s1_id, l.target_id, " + ", ".join(f"list_has_any(list_filter(a.q_{r}, lambda v: v <> ''), list_filter(b.t_{r}, lambda v: v <> '')) as \"{r}\"" for r in _rf) + " from links l join fl a on a.entity_id = l.s1_id join fl b on b.entity_id = l.target_id",
      "fl as (select entity_id, " + ", ".join(f"{route_list(r, True)} as q_{r}, {route_list(r, False)} as t_{r}" for r in _rf) + " from rec)")
 _add("unindexed_targets", "select s1_id, target_id from links where target_id not in (select target_id from cand)", PAIRS)

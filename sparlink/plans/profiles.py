@@ -20,6 +20,8 @@ class Profile:
     partial_from: float = 0.82
     tiers: str = "standard"  # strict, brand, tightened: other readings of the tiers after the exact ones
     category: str = "none"  # none, soft: unless names are close, hard
+    text: str = "standard"  # how records are made: standard, calibrated
+    alias_cap: int | None = None  # the most index rows of a core key that an alias may still join
     gate: str = "lone"
     gate_score: float = 0.82
     gate_address: float = 0.60
@@ -37,8 +39,8 @@ V3 = replace(V2, name="v3", caps=V2.caps | {"post_prefix4": 20}, fuzzy=("core",
 V4L = Profile("v4l", _caps(35, 35, 20, 20, 20, 20, 20, 12, post_prefix4=15), fuzzy=("core", "sorted", "partial"), expanded=False, phone=False, moderate_partial=True,
               category="soft", gate="signals", gate_score=0.84, gate_address=0.65)
 V4 = replace(V4L, name="v4", tiers="tightened", partial_from=0.80, caps=V4L.caps | {"city_num": 20, "char4": 15, "domain": 20, "post_dist": 20})
-V5 = Profile("v5", _caps(100, 50, 30, 50, 40, 40, 50, 25, post_prefix4=15), brand_words=5, fuzzy=("core", "sorted"), expanded=False, phone=False, category="hard",
-             gate="blank_address", gate_score=0.84, gate_address=0.65)
+V5 = Profile("v5", text="calibrated", alias_cap=30, caps=_caps(100, 50, 30, 50, 40, 40, 50, 25, post_prefix4=15), brand_words=5, fuzzy=("core", "sorted"), expanded=False, phone=False,
+             category="hard", gate="blank_address", gate_score=0.84, gate_address=0.65)
 G = Profile("g", {k: V2.caps[k] for k in V2.caps if k != "sorted"} | {"sorted": 40}, brand_words=3, fuzzy=("core", "sorted"), expanded=False, phone=False, tiers="strict", gate_score=0.84, gate_address=0.65)
 BRAND = replace(V2, name="brand", tiers="brand")
 #: Greater caps, for a look at what blocking could reach.

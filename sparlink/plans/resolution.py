@@ -19,12 +19,18 @@ class Resolution:
     scored: DataFrame
     owned: DataFrame
     matches: DataFrame
+    kept: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Gives back what is kept, once results are written."""
+        for df in self.kept:
+            df.unpersist()
 
 
 def resolve(queries: DataFrame, targets: DataFrame, profile: Profile = V6, keep: bool = True) -> Resolution:
     """queries and targets: entities with ord. Records and candidates are kept (memory and disk) unless keep is False,
-    since each is used more than once; what is lost with an executor is worked out again."""
-    q, t = prepare_all(queries, targets)
+    since each is used more than once, until release(); what is lost with an executor is worked out again."""
+    q, t = prepare_all(queries, targets, text=profile.text)
     if keep:
         q, t = q.persist(), t.persist()
     found = candidates(q, t, profile)
@@ -32,7 +38,7 @@ def resolve(queries: DataFrame, targets: DataFrame, profile: Profile = V6, keep:
     scored = score_pairs(found, q, t, profile)
     scored = scored.persist() if keep else scored
     owned = owners(scored, profile.order)
-    return Resolution(found, scored, owned, gate(owned, profile.gate, profile.gate_score, profile.gate_address))
+    return Resolution(found, scored, owned, gate(owned, profile.gate, profile.gate_score, profile.gate_address), (q, t, found, scored) if keep else ())
 
 
 def core_postal_matches(queries: DataFrame, targets: DataFrame) -> DataFrame:

@@ -53,6 +53,13 @@ def fold_map(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.explode(F.from_json("value", "map<string,int>")).alias("s1_id", "fold"))
 
 
+def numbered(df: DataFrame, order: str) -> DataFrame:
+    """(order, line_no) of df: the column's place from 1 in ascending order; no task has more than a range."""
+    kind = df.schema[order].dataType.simpleString()
+    rows = df.select(order).orderBy(order).rdd.zipWithIndex().map(lambda x: (x[0][0], x[1] + 1))
+    return df.sparkSession.createDataFrame(rows, f"{order} {kind}, line_no long")
+
+
 def joined_lists(s1: DataFrame, links: DataFrame, name: str, order: Column | None = None) -> DataFrame:
     """(s1_id, name): every S1 id with its distinct targets joined by commas, by id or in the given order; "" for none."""
     if order is None:
@@ -63,9 +70,11 @@ def joined_lists(s1: DataFrame, links: DataFrame, name: str, order: Column | Non
     return s1.select("s1_id").join(lists, "s1_id", "left").fillna("", [name])
 
 
-def write_lists(df: DataFrame, path: str, single: bool = False) -> None:
-    """A tab-separated result file with a header; one file only if asked, as the folder otherwise."""
-    (df.coalesce(1) if single else df).write.mode("overwrite").csv(path, sep="\t", header=True, quote="", emptyValue="")
+def write_lists(df: DataFrame, path: str, single: bool = False, order: str | None = None) -> None:
+    """A tab-separated result file with a header; one file only if asked, as the folder otherwise. order: a column by
+    whose ranges the rows are sorted, so that the files, in the order of their names, are sorted as a whole."""
+    df = df.coalesce(1) if single else df
+    (df if order is None else df.sortWithinPartitions(order) if single else df.orderBy(order)).write.mode("overwrite").csv(path, sep="\t", header=True, quote="", emptyValue="")
 
 
 #: Accented letters of the fixture and the letters they fold to.

@@ -13,8 +13,9 @@ from ..plans.profiles import Profile
 class OwnerTable:
     """The best claim on every target so far, as a table in a folder; merging a batch again changes nothing.
 
-    Each batch writes a new version beside the old one and then names it in `current`, so a batch that fails halfway, or
-    that is delivered twice, leaves the last finished version in force.
+    Each batch writes a version of its own: a folder without _SUCCESS is no version, and a batch that is delivered again
+    is merged into the last version of the others, so a failure halfway leaves that one in force. Versions older than
+    the one before the last are deleted.
     """
 
     def __init__(self, spark: SparkSession, folder: str, order: tuple[str, ...]):
@@ -34,9 +35,13 @@ class OwnerTable:
         return self.spark.read.parquet(f"{self.folder}/version={v[-1]}") if v else None
 
     def merge(self, claims: DataFrame, version: int) -> None:
-        have = self.read()
+        done = [v for v in self._versions() if v < version]
+        have = self.spark.read.parquet(f"{self.folder}/version={done[-1]}") if done else None
         both = claims if have is None else have.unionByName(claims)
         owners(both, self.order).write.mode("overwrite").parquet(f"{self.folder}/version={version}")
+        for v in done[:-1]:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/version={v}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def start_resolution(queries: DataFrame, targets: DataFrame, profile: Profile, table: OwnerTable, checkpoint: str, available_now: bool = True):
@@ -45,10 +50,10 @@ def start_resolution(queries: DataFrame, targets: DataFrame, profile: Profile, t
     targets: a static table of entities; caps count what the batch needs, as they do in batch runs, so a key's first
     rows are the same in every batch.
     """
-    index = prepare(targets).persist()
+    index = prepare(targets, profile.text).persist()
 
     def step(batch: DataFrame, number: int) -> None:
-        q = prepare(batch).persist()
+        q = prepare(batch, profile.text).persist()
         scored = score_pairs(candidates(q, index, profile), q, index, profile)
         table.merge(scored, number)
         q.unpersist()
