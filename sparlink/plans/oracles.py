@@ -1,12 +1,14 @@
 """DuckDB SQL with the meaning of each query, over the same Parquet tables.
 
-A chain of common table expressions restates the records; each query then selects from it. Queries with fuzzy scores,
-models or regular expressions that DuckDB lacks have none here; they are tested against plain Python.
+A chain of common table expressions restates the records; each query then selects from it. Fuzzy scores come from
+similarity_sql, for names of any length. Models, folds by Spark's hash and the calibrated text have none here; they are
+tested against plain Python where they are exact.
 """
 from __future__ import annotations
 
 from ..functions import words as W
-from .profiles import EXACT, V6
+from . import similarity_sql as Q
+from .profiles import EXACT, PROFILES, V6, Profile
 
 FIXTURE = r"""
 w as (select doc_id, lang, string_split(trim(regexp_replace(lower(regexp_replace(translate(text, 'üêÓíéÍçÜäóÖÉÈñöÊÄÑÇè', 'ueOieIcUaoOEEnoEANCe'), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', ' ', 'g')), ' ') t from documents),
@@ -116,6 +118,11 @@ def soundex(x: str) -> str:
     return f"(case when regexp_full_match({u}, '[A-Z]+') then rpad(substr({u}, 1, 1) || coalesce(array_to_string(list_slice({kept}, 1, 3), ''), ''), 4, '0') else '' end)"
 
 
+def domain(x: str) -> str:
+    host = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(" + fold(x) + r"), '^https?://', ''), '^[^@/]*@', ''), '^(www|m)\.', ''), '/.*$', ''), '\.[a-z.]+$', ''), '[^a-z0-9]', '', 'g')"
+    return f"(case when length({host}) >= 4 then {host} else '' end)"
+
+
 def route_list(route: str, query: bool, brand_words: int = 6, expanded: bool = True) -> str:
     first = "coalesce(core_toks[1], '')"
     return {
@@ -124,21 +131,21 @@ def route_list(route: str, query: bool, brand_words: int = 6, expanded: bool = T
         "sorted": "[sorted_key]", "concat": "[case when length(concat_key) >= 5 then concat_key else '' end]", "num_prefix": "[num_prefix]", "post_prefix": "[post_prefix]", "post_num": "[post_num]",
         "pfx4_country": "[pfx4_country]", "bigram": "[bigram]", "post_prefix4": "[post_prefix4]", "addr_key": "addr_keys", "phone": "phones_raw", "char4": "[prefix4]",
         "city_num": f"[{both(_CITY, 'num')}]", "post_dist": f"[{both('postal', 'coalesce(dist_addr[1], ' + chr(39) * 2 + ')')}]",
-        "soundex": f"[{soundex(first)}]",
+        "soundex": f"[{soundex(first)}]", "domain": f"[{domain('name')}]",
         "first_prefix5": f"[case when length({first}) >= 4 then substr({first}, 1, 5) else '' end]", "first_prefix4": f"[case when length({first}) >= 4 then substr({first}, 1, 4) else '' end]",
     }[route]
 
 
-def keys(name: str, routes, query: bool) -> str:
-    parts = [f"select '{r}' as route, entity_id as id, ord, {route_list(r, query)} as ks from rec where source {'= 1' if query else '> 1'}" for r in routes]
+def keys(name: str, routes, query: bool, brand_words: int = 6, expanded: bool = True) -> str:
+    parts = [f"select '{r}' as route, entity_id as id, ord, {route_list(r, query, brand_words, expanded)} as ks from rec where source {'= 1' if query else '> 1'}" for r in routes]
     return f"{name}_l as ({' union all '.join(parts)}),\n{name}_u as (select route, id, ord, unnest(ks) as key, generate_subscripts(ks, 1) as pos from {name}_l),\n{name} as (select * from {name}_u where key <> '')"
 
 
-def found(caps: dict) -> str:
+def found(caps: dict, brand_words: int = 6, expanded: bool = True) -> str:
     """Common tables qk, tk and found(s1_id, target_id, route) under caps."""
     cap = _map({k: int(v) for k, v in caps.items()})
-    return f"""{keys('qk', caps, True)},
-{keys('tk', caps, False)},
+    return f"""{keys('qk', caps, True, brand_words, expanded)},
+{keys('tk', caps, False, brand_words, expanded)},
 need as (select tk.* from tk semi join qk using (route, key)),
 capped as (select * from (select *, row_number() over (partition by route, key order by ord, pos) as rn from need) where rn <= {cap}[route]),
 found as (select distinct qk.id as s1_id, capped.id as target_id, route from qk join capped using (route, key))"""
@@ -299,8 +306,7 @@ _add("category_mask", f"select entity_id, {_mask} as mask, cast({_inside} as big
      "cm as (select entity_id, norm || ' hotel bank' || case when doc_id % 2 = 0 then ' tech' else '' end as nm, norm || 'inner bankers' as nx, norm || ' motel gym' as nc from rec)")
 _rec("source_tag", is_s2="contains(lower(entity_id), 's2')", is_s3="contains(lower(entity_id), 's3')")
 _rec("prepare_record", norm="norm", core="core", sorted_key="sorted_key", concat_key="concat_key", postal="postal", num="num", cc="cc", cat="cat")
-_dom = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(" + fold("url") + r"), '^https?://', ''), '^[^@/]*@', ''), '^(www|m)\.', ''), '/.*$', ''), '\.[a-z.]+$', ''), '[^a-z0-9]', '', 'g')"
-_DOMAIN = f"pg as (select page_id, case when length({_dom}) >= 4 then {_dom} else '' end as token from pages)"
+_DOMAIN = f"pg as (select page_id, {domain('url')} as token from pages)"
 ORACLES["domain_token"] = f"with {_DOMAIN} select page_id, token from pg"
 ORACLES["route_domain"] = f"with {_DOMAIN}, ix as (select * from (select *, row_number() over (partition by token order by page_id) as rn from pg where token <> '') where rn <= 20) select a.page_id as a, b.page_id as b from pg a join ix b on a.token = b.token and a.page_id <> b.page_id"
 
@@ -314,6 +320,8 @@ _gp("overlap_count", overlap="overlap", share="case when greatest(len(s_dist_add
 _EDIT = "(least(length(s_core), length(t_core)) between 3 and 7 and greatest(length(s_core), length(t_core)) <= 8 and levenshtein(s_core, t_core) <= 1)"
 _gp("levenshtein_one", edit=_EDIT)
 _gp("jaro_winkler", jw="round(jaro_winkler_similarity(s_norm, t_norm), 6)")
+for _k in ("ratio", "token_sort", "token_set", "partial", "weighted"):
+    _add(f"fuzz_{_k}", f"select s1_id, target_id, round({_k}, 9) as score from gp join kn on a = s_norm and b = t_norm", joined("gp", "links"), Q.kernels("kn", "select s_norm as a, t_norm as b from gp", True))
 _gp("match_flags", pm="pm", nm="nm", pc="pc", nc="nc")
 _gp("country_relation", fe="cast(case when s_cc = '' or t_cc = '' then -1 when s_cc = t_cc then 1 else 0 end as double)", v4="cast(case when s_cc = '' or t_cc = '' then 0 when s_cc = t_cc then 1 else -1 end as double)")
 ORACLES["cosine_embeddings"] = """with e as (select vec_id as id, list_transform(embedding, lambda x: x::double) as v from embeddings),
@@ -438,3 +446,94 @@ _add("sweep_tau", sweep({"tau": [0.82, 0.9, 0.92, 0.94, 0.95]}, "score >= tau",
 _add("sweep_two_sources", sweep({"tau2": [0.82, 0.92, 0.95], "tau3": [0.9, 0.94]}, "score >= case when target_id like 'S2%' then tau2 else tau3 end", "score desc"), SCORED)
 _add("sweep_rules", sweep({"cutoff": [0.81, 0.85, 0.93], "min_len": [4.0, 14.0]}, "score >= cutoff and (not t_blank or core_len >= min_len)", "score desc, nm desc, pm desc"), SCORED)
 ORACLES["sweep_best"] = "select * from (" + ORACLES["sweep_tau"] + ") order by macro_f05 desc, tau limit 1"
+
+# --- what takes fuzzy scores ---
+_CORES, _NORMS, _ADDRESSES, _EXPANDED = (f"select s_{x} as a, t_{x} as b from " for x in ("core", "norm", "clean_addr", "exp_core"))
+_on = lambda table, x: f"{table}.a = s_{x} and {table}.b = t_{x}"
+_JW = lambda x: f"case when s_{x} = '' or t_{x} = '' then 0.0 else jaro_winkler_similarity(s_{x}, t_{x}) end"
+_CLASH = "(s_cat <> 0 and t_cat <> 0 and (s_cat & t_cat) = 0)"
+_add("screener", "select s1_id, target_id from pair join kc on " + _on("kc", "core") + " where s_core = t_core or pm or nm or overlap >= 1 or s_sorted_key = t_sorted_key or kc.ratio >= 0.48", PAIRS, Q.kernels("kc", _CORES + "pair"))
+_add("top_by_similarity", "select s1_id, target_id, score, rank from (select *, row_number() over (partition by s1_id order by score desc, target_id) as rank from ts) where rank <= 5", PAIRS, Q.kernels("kc", _CORES + "pair"),
+     f"ts as (select s1_id, target_id, round(case when s_core = '' or t_core = '' then 50 else 100 * kc.ratio end + case when nm then 25 else 0 end, 9) as score from pair join kc on {_on('kc', 'core')})")
+_BONUS = f"case when pm then 0.10 else 0 end + case when nm then 0.05 else 0 end + case when {jaccard(Q.words('s_clean_addr'), Q.words('t_clean_addr'))} > 0.5 then 0.05 else 0 end"
+_add("composite_score", "select s1_id, target_id, round(least(1.0, name_sim + bonus), 6) as composite from cs where name_sim >= 0.30", PAIRS, Q.kernels("kc", _CORES + "pair"), Q.kernels("kn", _NORMS + "pair"),
+     f"cs as (select s1_id, target_id, greatest(kc.token_sort, kn.token_sort, {_JW('core')}) as name_sim, ({_BONUS})::double as bonus from pair join kc on {_on('kc', 'core')} join kn on {_on('kn', 'norm')} where {COUNTRY})")
+_bare = lambda p: grams(f"replace({p}_norm, ' ', '')", 4)
+_gap = " or ".join(f"list_has_any(list_filter(a.q_{r}, lambda v: v <> ''), list_filter(b.t_{r}, lambda v: v <> ''))" for r in _rf)
+_add("blocking_gaps", f"select s1_id, target_id, {jaccard(_bare('s'), _bare('t'))} >= 0.10 as by_grams, kn.token_sort >= 0.65 as by_words, pc as postal_conflict, nc as num_conflict from gm join kn on {_on('kn', 'norm')}",
+     "fl as (select entity_id, " + ", ".join(f"{route_list(r, True)} as q_{r}, {route_list(r, False)} as t_{r}" for r in _rf) + " from rec)",
+     f"ms as (select l.s1_id, l.target_id from links l join fl a on a.entity_id = l.s1_id join fl b on b.entity_id = l.target_id where not ({_gap}))", joined("gm", "ms"), Q.kernels("kn", _NORMS + "gm"))
+_quotas = [("core", 20), ("sorted", 15), ("concat", 12), ("num_prefix", 10), ("post_num", 15), ("addr_key", 10)]
+_add("fair_quota", f"select s1_id, target_id, place from q{len(_quotas)} where place <= 20", PAIRS, "fo as (select s1_id, target_id, route, ord from found join rec on rec.entity_id = target_id)",
+     "q0 as (select s1_id, target_id, 0::bigint as place from fo where false)",
+     *(f"""q{i + 1} as (select * from q{i} union all select s1_id, target_id, coalesce(had, 0) + rn from (select s1_id, target_id, row_number() over (partition by s1_id order by ord, target_id) as rn
+  from fo anti join q{i} using (s1_id, target_id) where route = '{r}') left join (select s1_id, count(*) as had from q{i} group by 1) using (s1_id) where rn <= {n})""" for i, (r, n) in enumerate(_quotas)))
+_SHARED = f"case when len(list_intersect({_tk('s')}, {_tk('t')})) > 0 then 5.0 else 0.0 end"
+_ALL = {k: f"cast({v} as double)" for k, v in (_D | {"max_shared_idf": _SHARED, "mean_shared_idf": _SHARED, "char_ngram_jaccard": jaccard(grams("s_norm", 3), grams("t_norm", 3)), "token_sort": "kn.token_sort", "token_set": "kn.token_set",
+        "lev_ratio": "kc.ratio", "jaro_winkler": _JW("norm"), "partial_ratio": "kn.partial", "addr_token_set": "ka.token_set", "addr_token_sort": "ka.token_sort"}).items()}
+_STRENGTH = {"name_strength": "name_strength", "addr_strength": "addr_strength", "name_x_addr": "name_strength * addr_strength", "strong_name_weak_addr": "(name_strength > 0.88 and both_addr and addr_strength < 0.30)::double",
+             "weak_name_strong_addr": "(name_strength < 0.50 and both_addr and addr_strength > 0.85)::double"}
+_add("pair_features", "select s1_id, target_id, " + ", ".join(f"round({k}, 6) as {k}" for k in _ALL) + ", " + ", ".join(f"round({v}, 6) as {k}" for k, v in _STRENGTH.items()) + " from fs", PAIRS,
+     Q.kernels("kn", _NORMS + "pair", True), Q.kernels("kc", _CORES + "pair"), Q.kernels("ka", _ADDRESSES + "pair"),
+     "fw as (select s1_id, target_id, both_addr, " + ", ".join(f"{v} as {k}" for k, v in _ALL.items()) + f" from pair join kn on {_on('kn', 'norm')} join kc on {_on('kc', 'core')} join ka on {_on('ka', 'clean_addr')})",
+     "fs as (select *, greatest(token_sort, token_set, lev_ratio, jaro_winkler) as name_strength, case when both_addr then greatest(addr_token_set, addr_dist_jaccard, postal_match) else 0.5 end as addr_strength from fw)")
+_LENGTHS = "length(s_core), length(t_core)"
+_add("pair_features_compact", f"""select s1_id, target_id, cast(case when s_core <> '' and s_core = t_core then 1 when list_contains(s_aliases, t_core) or list_contains(t_aliases, s_core) then 0.95 else 0 end as double) as core_exact,
+  (s_concat_key <> '' and s_concat_key = t_concat_key)::double as concat_exact, {_CLASH}::double as cat_conflict, least({_LENGTHS})::double as core_len_min, (greatest({_LENGTHS}) - least({_LENGTHS}))::double as core_len_diff,
+  (s_cc <> '' and s_cc = t_cc)::double as country_match, (s_cc <> '' and t_cc <> '' and s_cc <> t_cc)::double as country_conflict from pair""", PAIRS)
+
+
+# --- whole resolutions with fuzzy scores ---
+_EV1 = "(pm or nm or overlap >= 1)"
+
+
+def moderate(p: Profile) -> str:
+    """The branches after the exact tiers, first to last, as when ... then."""
+    scripts = "when (s_non_ascii or t_non_ascii) and nm then case when overlap >= 2 and sim1 >= 0.80 then 0.88 "
+    near = f"when name >= 0.88 then case when {_EV1} or not both_addr then 0.87 else 0 end"
+    postal = "when name >= 0.72 then case when pm and (nm or overlap >= 1) then 0.84 when nm and overlap >= 1 then 0.82"
+    if p.tiers == "strict":
+        return f"{scripts} when pm and overlap >= 1 and sim1 >= 0.88 then 0.86 else 0 end {near} {postal} else 0 end"
+    if p.tiers == "brand":
+        return f"""when nm and overlap >= 2 then 0.89 when name >= 0.86 then case when {_EV1} or (not has_s and not has_t and name >= 0.92) then 0.87 else 0 end
+  when name >= 0.80 and (len(list_intersect(s_brand, t_brand)) > 0 or (nm and overlap >= 2)) then case when pm or nm then 0.83 when overlap >= 2 and sim1 >= 0.80 then 0.81 else 0 end"""
+    phone = "when list_has_any(s_phones_raw, t_phones_addr) then case when name >= 0.60 then 0.86 else 0 end" if p.phone else ""
+    part = f"when name >= 0.60 and part >= {p.partial_from} then case when pm and nm then 0.83 when pm and overlap >= 1 then 0.82 else 0 end" if p.moderate_partial else ""
+    return f"{scripts} when overlap >= 1 and sim1 >= 0.90 then 0.86 else 0 end {near} {phone} {postal} when overlap >= 2 and sim1 >= 0.82 then 0.80 else 0 end {part}"
+
+
+_FEW = "(pm::int + nm::int + (a_sim >= 0.65)::int) < 2"
+_WEAK = {"none": "false", "lone": "score < {0} and a_sim < {1}", "signals": f"score < 0.90 and {_FEW} and (score < 0.84 or (core_len < 5 and score < 0.87))"}
+
+
+def resolution(p: Profile) -> str:
+    """The profile's matches, from the records on."""
+    windows = p.moderate_partial or "weighted" in p.fuzzy or "partial" in p.fuzzy
+    names = {"core": "kc.ratio", "sorted": "kn.token_sort", "weighted": "kc.weighted", "expanded": "ke.ratio", "partial": "part0"}
+    tier = f"case {moderate(p)} else 0 end"
+    if p.tiers not in ("strict", "brand"):
+        tier = f"case when {tier} < 0.80 and {_EDIT} and {_EV1} then 0.83 else {tier} end"
+    if p.tiers == "tightened":
+        tier = f"case when {tier} >= 0.81 and name < 0.60 and ({_CLASH} or ({tier} < 0.87 and name < 0.55)) then 0 else {tier} end"
+    keep = {"none": "true", "soft": f"(not {_CLASH} or fix is not null or name >= 0.85)", "hard": f"not {_CLASH}"}[p.category]
+    order = ", ".join(f"{c} desc" for c in p.order)
+    return f"""{found(p.caps, p.brand_words, p.expanded)},
+cand as (select distinct s1_id, target_id from found),
+{joined('pair', 'cand')},
+g0 as materialized (select *, {fixed(p.expanded)} as fix from pair where {COUNTRY} and {GATE} and {GUARD}),
+{Q.kernels('kc', _CORES + 'g0', windows)},
+{Q.kernels('kn', _NORMS + 'g0')},
+{Q.kernels('ke', _EXPANDED + 'g0')},
+{Q.kernels('ka', _ADDRESSES + 'g0 where both_addr')},
+g1 as (select g0.*, case when both_addr then ka.token_set end as sim, {"case when greatest(length(s_core), length(t_core)) > 6 then kc.partial else 0 end" if windows else "0.0"} as part0, {'greatest(' if len(p.fuzzy) > 1 else '('}{', '.join(names[x] for x in p.fuzzy)}) as name
+  from g0 join kc on {_on('kc', 'core')} join kn on {_on('kn', 'norm')} join ke on {_on('ke', 'exp_core')} left join ka on {_on('ka', 'clean_addr')}),
+g2 as (select *, part0 as part, coalesce(sim, -1.0) as sim1 from g1 where not coalesce(sim < 0.35 or (pc and sim < 0.70), false) and {keep}),
+scored as (select s1_id, target_id, coalesce(fix, {tier})::double as score, coalesce(sim, 0.5) as a_sim, pm, nm, s_ord, length(s_core) as core_len from g2),
+owned as (select * exclude (rn) from (select *, row_number() over (partition by target_id order by {order}, s_ord) as rn from scored where score >= {p.cutoff}) where rn = 1),
+ownedn as (select *, count(*) over (partition by s1_id) as n from owned)
+select s1_id, target_id, score, round(a_sim, 9) as a_sim, pm, nm from ownedn where not (n = 1 and {_WEAK[p.gate].format(p.gate_score, p.gate_address)})"""
+
+
+for _p in PROFILES.values():
+    if _p.fuzzy and _p.text == "standard":  # the calibrated text is tested against plain Python
+        ORACLES[f"resolve_{_p.name}"] = "with " + RECORDS + ",\n" + resolution(_p)
