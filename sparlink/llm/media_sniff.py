@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -111,22 +112,36 @@ def _pdf(b: bytes, at: int) -> tuple[str, int] | None:
     return ("application/pdf", end + 5 - at) if ok else None
 
 
+@lru_cache(maxsize=1)
+def _directories(b: bytes) -> dict[int, int]:
+    """By a ZIP's start the place of its end record: every end record tells one start, so all are found in one pass."""
+    ends: dict[int, int] = {}
+    p = b.find(b"PK\x05\x06")
+    while p >= 0:
+        start = _le(b, p + 16, 4)
+        at = p - _le(b, p + 12, 4) - start
+        if at >= 0 and len(b) >= p + 22 and b[at + start : at + start + 4] in (b"PK\x01\x02", b"PK\x05\x06"):
+            ends.setdefault(at, p)
+        p = b.find(b"PK\x05\x06", p + 1)
+    return ends
+
+
 def _zip(b: bytes, at: int) -> tuple[str, int] | None:
-    p = at
-    while (p := b.find(b"PK\x05\x06", p + 1)) >= 0:
-        size, start = _le(b, p + 12, 4), _le(b, p + 16, 4)
-        if len(b) >= p + 22 and at + start + size == p and b[at + start : at + start + 4] in (b"PK\x01\x02", b"PK\x05\x06"):
-            end = p + 22 + _le(b, p + 20, 2)
-            return ("application/zip", end - at) if end <= len(b) else None
-    return None
+    p = _directories(b).get(at)
+    if p is None:
+        return None
+    end = p + 22 + _le(b, p + 20, 2)
+    return ("application/zip", end - at) if end <= len(b) else None
 
 
 def _gzip(b: bytes, at: int) -> tuple[str, int] | None:
-    d, p = zlib.decompressobj(31), at
+    d, p, rest = zlib.decompressobj(31), at, b""
     try:
-        while not d.eof and p < len(b):
-            d.decompress(b[p : p + 65536])
-            p += 65536
+        while not d.eof and (rest or p < len(b)):
+            if not rest:
+                rest, p = b[p : p + 65536], p + 65536
+            d.decompress(rest, 1 << 20)  # what a few bytes unfold to is not held at once
+            rest = d.unconsumed_tail
     except zlib.error:
         return None
     return ("application/gzip", min(p, len(b)) - len(d.unused_data) - at) if d.eof else None
@@ -161,9 +176,11 @@ def _mp4(b: bytes, at: int) -> tuple[str, int] | None:
     p, kinds = at, []
     while p + 8 <= len(b):
         size, kind = _be(b, p, 4), b[p + 4 : p + 8]
-        size = _be(b, p + 8, 8) if size == 1 else size
-        if kind not in (b"ftyp", b"moov", b"mdat", b"free", b"skip", b"moof", b"sidx", b"uuid", b"meta") or size < 8 or p + size > len(b):
+        size = _be(b, p + 8, 8) if size == 1 else size or len(b) - p  # 0: to the end
+        if kind not in (b"ftyp", b"moov", b"mdat", b"free", b"skip", b"moof", b"sidx", b"uuid", b"meta") or size < 8:
             break
+        if p + size > len(b):  # cut short
+            return None
         kinds.append(kind)
         p += size
     return ("video/mp4", p - at) if kinds[:1] == [b"ftyp"] and {b"moov", b"meta"} & {*kinds} else None
