@@ -1,8 +1,8 @@
 """DuckDB SQL with the meaning of each query, over the same Parquet tables.
 
 A chain of common table expressions restates the records; each query then selects from it. Fuzzy scores come from
-similarity_sql, for names of any length. Models, folds by Spark's hash and the calibrated text have none here; they are
-tested against plain Python where they are exact.
+similarity_sql, for names of any length. Models and folds by Spark's hash have none here; they are tested against plain
+Python where they are exact.
 """
 from __future__ import annotations
 
@@ -141,13 +141,18 @@ def keys(name: str, routes, query: bool, brand_words: int = 6, expanded: bool =
     return f"{name}_l as ({' union all '.join(parts)}),\n{name}_u as (select route, id, ord, unnest(ks) as key, generate_subscripts(ks, 1) as pos from {name}_l),\n{name} as (select * from {name}_u where key <> '')"
 
 
-def found(caps: dict, brand_words: int = 6, expanded: bool = True) -> str:
+def found(caps: dict, brand_words: int = 6, expanded: bool = True, alias_cap: int | None = None) -> str:
     """Common tables qk, tk and found(s1_id, target_id, route) under caps."""
     cap = _map({k: int(v) for k, v in caps.items()})
+    kept = f"select * from ranked where rn <= {cap}[route]"
+    if alias_cap:  # after the first alias_cap rows of a core key its cores only, up to the cap
+        late = f"select *, row_number() over (partition by key order by rn) as late from ranked where route = 'core' and pos = 1 and rn > {alias_cap}"
+        kept = f"select route, key, id from ranked where rn <= case when route = 'core' then {alias_cap} else {cap}[route] end union all select route, key, id from ({late}) where late <= {caps['core'] - alias_cap}"
     return f"""{keys('qk', caps, True, brand_words, expanded)},
 {keys('tk', caps, False, brand_words, expanded)},
 need as (select tk.* from tk semi join qk using (route, key)),
-capped as (select * from (select *, row_number() over (partition by route, key order by ord, pos) as rn from need) where rn <= {cap}[route]),
+ranked as (select *, row_number() over (partition by route, key order by ord, pos) as rn from need),
+capped as ({kept}),
 found as (select distinct qk.id as s1_id, capped.id as target_id, route from qk join capped using (route, key))"""
 
 
@@ -270,18 +275,20 @@ _rec("street_number", num=rf"case when regexp_extract(norm_addr, '^(\d+)\b', 1)
 _NINE = [".com", ".in", ".org", ".net", ".co", ".io", ".fr", ".co.uk", ".eu"]
 _V5_ALIAS = "\\b(?:aka|dba|fka|doing business as|trading as)\\b"
 _V5_IN = " + ".join(f"(case when {' or '.join(f'contains(norm, {chr(39)}{w}{chr(39)})' for w in ws)} then {1 << i} else 0 end)" for i, ws in enumerate(W.CATEGORY_PARTS))
-ORACLES["prepare_v5"] = f"""with {FIXTURE},
-a as (select entity_id, {norm('name', _NINE)} as norm, {norm('address', _NINE)} as norm_addr, {norm('country', _NINE)} as cc from ent),
+CALIBRATED = FIXTURE + f""",
+a as (select *, source * 1099511627776 + doc_id as ord, {norm('name', _NINE)} as norm, {norm('address', _NINE)} as norm_addr, {norm('country', _NINE)} as cc,
+  length(regexp_replace(name, '[^a-zA-Z]', '', 'g')) < 3 and length(trim(name)) >= 3 as non_ascii from ent),
 b as (select *, {without(toks('norm'), W.LEGAL_CALIBRATED)} as core_toks, {toks('norm_addr')} as atoks, {_V5_POSTAL.format('norm_addr')} as postal,
   case when regexp_extract(norm_addr, '^(\\d+)\\b', 1) <> '' then regexp_extract(norm_addr, '^(\\d+)\\b', 1) when {_AFTER} <> '' then {_AFTER} else {_STREETNO} end as num from a),
-c as (select *, coalesce(array_to_string(core_toks, ' '), '') as core, {_V5_DIST} as dist from b),
-d as (select *, case when length(core) >= 3 then substr(core, 1, 3) else '' end as p3, case when length(core) >= 4 then substr(core, 1, 4) else '' end as p4 from c)
-select entity_id, norm, core, coalesce(array_to_string(list_sort(core_toks), ' '), '') as sorted_key, coalesce(array_to_string(core_toks, ''), '') as concat_key, cc, postal, num,
-  {both('num', 'substr(postal, 1, 3)')} as num_prefix, {both('postal', 'p3')} as post_prefix, {both('postal', 'p4')} as post_prefix4,
-  case when postal <> '' and num <> '' and p3 <> '' then num || '_' || postal || '_' || p3 else '' end as addr_keys,
-  {pipe(f"list_slice(list_filter(core_toks, lambda v: length(v) >= 4 and not list_contains({_list(W.generic_words_calibrated())}, v)), 1, 5)")} as brand, {pipe('dist')} as dist_addr,
-  case when len(string_split_regex(norm, '{_V5_ALIAS}')) > 1 then {pipe(f"list_filter(list_transform(string_split_regex(norm, '{_V5_ALIAS}'), lambda v: trim(v)), lambda v: length(v) >= 3)")} else '' end as aliases,
-  cast({_V5_IN} as bigint) as cat from d"""
+c as (select *, coalesce(array_to_string(core_toks, ' '), '') as core, {_V5_DIST} as dist_addr, norm_addr as clean_addr, '' as exp_core, []::varchar[] as phones_raw, []::varchar[] as phones_addr,
+  list_slice(list_filter(core_toks, lambda v: length(v) >= 4 and not list_contains({_list(W.generic_words_calibrated())}, v)), 1, 5) as brand, cast({_V5_IN} as bigint) as cat,
+  case when len(string_split_regex(norm, '{_V5_ALIAS}')) > 1 then list_filter(list_transform(string_split_regex(norm, '{_V5_ALIAS}'), lambda v: trim(v)), lambda v: length(v) >= 3) else []::varchar[] end as aliases from b),
+d as (select *, case when length(core) >= 3 then substr(core, 1, 3) else '' end as prefix3, case when length(core) >= 4 then substr(core, 1, 4) else '' end as prefix4,
+  coalesce(array_to_string(list_sort(core_toks), ' '), '') as sorted_key, coalesce(array_to_string(core_toks, ''), '') as concat_key, {both('postal', 'num')} as post_num from c),
+rec as (select *, {both('num', 'substr(postal, 1, 3)')} as num_prefix, {both('postal', 'prefix3')} as post_prefix, {both('postal', 'prefix4')} as post_prefix4,
+  case when postal <> '' and num <> '' and prefix3 <> '' then [num || '_' || postal || '_' || prefix3] else []::varchar[] end as addr_keys from d)"""
+_add("prepare_v5", f"""select entity_id, norm, core, sorted_key, concat_key, cc, postal, num, num_prefix, post_prefix, post_prefix4, {pipe('addr_keys')} as addr_keys, {pipe('brand')} as brand,
+  {pipe('dist_addr')} as dist_addr, {pipe('aliases')} as aliases, cat from rec""", base=CALIBRATED)
 _rec("soundex_key", code=soundex("coalesce(core_toks[1], '')"))
 _rec("phone_tokens", phones=pipe(phones("name || ' +1 (555) 010-' || (1000 + doc_id)::varchar")))
 _rec("prefix_key", p3="prefix3", p4="prefix4")
@@ -503,7 +510,7 @@ def moderate(p: Profile) -> str:
 
 
 _FEW = "(pm::int + nm::int + (a_sim >= 0.65)::int) < 2"
-_WEAK = {"none": "false", "lone": "score < {0} and a_sim < {1}", "signals": f"score < 0.90 and {_FEW} and (score < 0.84 or (core_len < 5 and score < 0.87))"}
+_WEAK = {"none": "false", "lone": "score < {0} and a_sim < {1}", "blank_address": "((score < {0} and a_sim < {1}) or (t_blank and score < 0.95))", "signals": f"score < 0.90 and {_FEW} and (score < 0.84 or (core_len < 5 and score < 0.87))"}
 
 
 def resolution(p: Profile) -> str:
@@ -517,7 +524,7 @@ def resolution(p: Profile) -> str:
         tier = f"case when {tier} >= 0.81 and name < 0.60 and ({_CLASH} or ({tier} < 0.87 and name < 0.55)) then 0 else {tier} end"
     keep = {"none": "true", "soft": f"(not {_CLASH} or fix is not null or name >= 0.85)", "hard": f"not {_CLASH}"}[p.category]
     order = ", ".join(f"{c} desc" for c in p.order)
-    return f"""{found(p.caps, p.brand_words, p.expanded)},
+    return f"""{found(p.caps, p.brand_words, p.expanded, p.alias_cap)},
 cand as (select distinct s1_id, target_id from found),
 {joined('pair', 'cand')},
 g0 as materialized (select *, {fixed(p.expanded)} as fix from pair where {COUNTRY} and {GATE} and {GUARD}),
@@ -528,12 +535,12 @@ g0 as materialized (select *, {fixed(p.expanded)} as fix from pair where {COUNTR
 g1 as (select g0.*, case when both_addr then ka.token_set end as sim, {"case when greatest(length(s_core), length(t_core)) > 6 then kc.partial else 0 end" if windows else "0.0"} as part0, {'greatest(' if len(p.fuzzy) > 1 else '('}{', '.join(names[x] for x in p.fuzzy)}) as name
   from g0 join kc on {_on('kc', 'core')} join kn on {_on('kn', 'norm')} join ke on {_on('ke', 'exp_core')} left join ka on {_on('ka', 'clean_addr')}),
 g2 as (select *, part0 as part, coalesce(sim, -1.0) as sim1 from g1 where not coalesce(sim < 0.35 or (pc and sim < 0.70), false) and {keep}),
-scored as (select s1_id, target_id, coalesce(fix, {tier})::double as score, coalesce(sim, 0.5) as a_sim, pm, nm, s_ord, length(s_core) as core_len from g2),
+scored as (select s1_id, target_id, coalesce(fix, {tier})::double as score, coalesce(sim, 0.5) as a_sim, pm, nm, s_ord, not has_t as t_blank, length(s_core) as core_len from g2),
 owned as (select * exclude (rn) from (select *, row_number() over (partition by target_id order by {order}, s_ord) as rn from scored where score >= {p.cutoff}) where rn = 1),
 ownedn as (select *, count(*) over (partition by s1_id) as n from owned)
 select s1_id, target_id, score, round(a_sim, 9) as a_sim, pm, nm from ownedn where not (n = 1 and {_WEAK[p.gate].format(p.gate_score, p.gate_address)})"""
 
 
 for _p in PROFILES.values():
-    if _p.fuzzy and _p.text == "standard":  # the calibrated text is tested against plain Python
-        ORACLES[f"resolve_{_p.name}"] = "with " + RECORDS + ",\n" + resolution(_p)
+    if _p.fuzzy:
+        ORACLES[f"resolve_{_p.name}"] = "with " + {"standard": RECORDS, "calibrated": CALIBRATED}[_p.text] + ",\n" + resolution(_p)
