@@ -544,3 +544,15 @@ select s1_id, target_id, score, round(a_sim, 9) as a_sim, pm, nm from ownedn whe
 for _p in PROFILES.values():
     if _p.fuzzy:
         ORACLES[f"resolve_{_p.name}"] = "with " + {"standard": RECORDS, "calibrated": CALIBRATED}[_p.text] + ",\n" + resolution(_p)
+
+
+# --- the composite profile's routes ---
+_CSTART = "case when length(ccore) >= 3 then substr(ccore, 1, 3) else '' end"
+_CKEYS = {"core": "ccore", "sorted": f"array_to_string(list_sort({Q.words('ccore')}), ' ')", "bigram": f"case when len({Q.words('ccore')}) >= 2 then array_to_string(list_slice(list_sort({Q.words('ccore')}), 1, 2), '_') else '' end",
+          "postal_core": both("code", f"({_CSTART})"), "street_core": both("street", f"({_CSTART})"), "postal_street": both("code", "street")}
+_add("routes_v7", "select distinct s1_id, target_id, route from (select s1_id, target_id, route from vq join vi using (route, key) where rn <= 30 union all select s1_id, target_id, 'alias' from va join vi using (key) where route = 'core' and rn <= 10)",
+     f"""v0 as (select entity_id, ord, source, case when {_CCORE} <> '' then {_CCORE} else {_CFULL} end as ccore, regexp_extract(address, '(\\d{{5}})$', 1) as code, regexp_extract({punct('address')}, '^(\\d+)', 1) as street,
+  list_filter(list_transform(string_split_regex(name, '(?i)\\b(?:{'|'.join(W.COMPOSITE_ALIAS_WORDS)})\\b'), lambda v: {punct('v')}), lambda v: length(v) > 2) as others from rec)""",
+     "vk as (" + " union all ".join(f"select entity_id, ord, source, '{r}' as route, {k} as key from v0" for r, k in _CKEYS.items()) + ")",
+     "vq as (select entity_id as s1_id, route, key from vk where source = 1 and key <> '')", "va as (select distinct entity_id as s1_id, unnest(others) as key from v0 where source = 1)",
+     "vi as (select entity_id as target_id, route, key, row_number() over (partition by route, key order by ord) as rn from vk where source > 1 and key <> '')")
