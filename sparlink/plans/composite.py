@@ -8,6 +8,7 @@ from ..functions import similarity as S
 from ..functions import text as X
 from ..operators import tfidf as TF
 from ..operators.blocking import cap_per_key
+from ..operators.graph import written
 from ..operators.resolve import gate, owners
 from .resolution import Resolution
 
@@ -63,10 +64,10 @@ def resolve_composite(queries: DataFrame, targets: DataFrame, least: float = 0.1
     """Entities with ord to matches: the best k of each `size` targets by grams of the core and the routes' targets are
     candidates; every target has one owner by (score, address similarity), the earliest query on ties; a query's only match
     goes if it is below 0.82 with an address similarity below 0.60."""
-    q, t = records(queries), records(targets)
+    q, t = written(records(queries)), written(records(targets))
     near = TF.sharded_top(q, t, "entity_id", "ord", X.padded_grams(F.col("core")), least, k, size, most)
     found = near.select(F.col("q").alias("s1_id"), F.col("t").alias("target_id"), F.lit("grams").alias("route")).union(routed(q, t))
-    found = found.groupBy("s1_id", "target_id").agg(F.array_sort(F.collect_set("route")).alias("routes"))
-    scored = scored_pairs(found.select("s1_id", "target_id"), q, t)
+    found = written(found.groupBy("s1_id", "target_id").agg(F.array_sort(F.collect_set("route")).alias("routes")))
+    scored = written(scored_pairs(found.select("s1_id", "target_id"), q, t))
     owned = owners(scored, ("score", "a_sim"))
     return Resolution(found, scored, owned, gate(owned.withColumn("t_blank", F.lit(False)).withColumn("core_len", F.lit(0)), "lone", 0.82, 0.60).drop("t_blank", "core_len"))
