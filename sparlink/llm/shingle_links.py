@@ -1,6 +1,7 @@
 """SimHash near-dedup at a Jaccard similarity of word shingles, for the pipeline's stage: tiles of fingerprints, exact sets.
 
-Texts of the same words are one node, with a SimHash of its distinct shingles. A radius that catches a similarity of 0.8
+Texts of the same words are one node, with a SimHash of its distinct shingles. All fingerprints of the table are compared
+at a radius of 3 by op10's tiles, skipped by population counts. For what lies further apart: a radius that catches a similarity of 0.8
 (about ten of 64 bits differ) skips no tile by population counts, so cells are dealt by bands of MinHash values instead:
 at 0.8 a pair shares none of 32 bands of 6 values with probability 6e-5, above it more seldom. Within a cell every pair
 of fingerprints is compared by exclusive-or and bit counts, and what lies within the radius by its whole shingle sets.
@@ -19,13 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_runs, bounded_batches, no_collector, slices, trimmed, written
-from .simhash import SALTS, components
+from .simhash import SALTS, components, links
 
 #: Bands of a text, MinHash values of a band.
 BANDS, ROWS = 32, 6
 #: Differing bits of fingerprints at which sets are still compared. At a similarity of 0.8 the share of differing bits is
 #: 0.15 (9.7 bits, deviation 2.9); of sets of four and five shingles it is 0.19 (12 bits, deviation 3.1).
 RADIUS = 26
+#: Differing bits at which all fingerprints of the table are compared, as op10 compares them.
+CLOSE = 3
 #: Texts in a tile of a cell.
 TILE = 256
 #: Pairs of one node from which its text is salted; node or row keys that are broadcast at most (about 24 MB).
@@ -224,6 +227,18 @@ def apart_links(known: DataFrame, texts: DataFrame, size: int, least: float) ->
     return jobs.groupBy("band", "lo", "hi").applyInArrow(compare, "a long, b long")
 
 
+def close_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): nodes whose fingerprints differ in at most CLOSE bits, enough to join all such nodes. All fingerprints of the
+    table are compared by op10's tiles, whatever cells their texts are in; nodes of one fingerprint meet its smallest."""
+    nodes = written(rows.where(F.size("bands") > 0).select("node", "fp").distinct(), "nodes")
+    fps = written(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")), "fps")
+    of = lambda end, name: fps.select(F.col("fp").alias(end), F.col("first").alias(name))
+    far = links(rows.sparkSession, fps.select("fp"), fps.count(), CLOSE).toDF("x", "y").join(of("x", "a"), "x").join(of("y", "b"), "y").select("a", "b")
+    salted = fps.where("n > 1").select("fp", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    mine = nodes.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["fp", "salt"])
+    return written(far.union(mine.where("node <> first").select("node", "first")), "close")
+
+
 def similar_groups(rows: DataFrame, text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
     """(node, root) of every node of a tagged table that reaches a smaller one by links; root is the smallest one it reaches."""
     banded = written(rows.select("node", "fp", F.explode("bands").alias("band")).distinct(), "bands")
@@ -232,14 +247,16 @@ def similar_groups(rows: DataFrame, text_col: str = "text", size: int = 5, least
     salted = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     members = banded.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["band", "salt"]).select("band", "hub", "hub_fp", "node", "fp")
     members = written(members, "members")
-    used = members.select(F.col("node").alias("used")).distinct()
+    tiled = close_pairs(rows)
+    used = members.select(F.col("node").alias("used")).union(tiled.select("a")).union(tiled.select("b")).distinct()
     first = rows.groupBy("node").agg(F.min("rid").alias("rid")).join(used, F.col("node") == F.col("used"), "left_semi").select(F.col("rid").alias("one"))
     first = written(first, "first")
     one = F.broadcast(first) if first.count() <= MOST_SENT else first
     texts = rows.join(one, rows["rid"] == one["one"], "left_semi").select("node", F.col(f"row.`{text_col}`").cast("string").alias("text"))
     texts = written(texts, "texts")
     close = (F.col("node") != F.col("hub")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("hub_fp"))) <= RADIUS)
-    pairs = written(members.where(close).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
+    pairs = members.where(close).select(F.col("node").alias("a"), F.col("hub").alias("b")).union(tiled)
+    pairs = written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
     near = confirmed(pairs, texts, size, least)
     roots = components(near)
     # What the hubs have not joined: members apart from their hub's component, against all others of the cell.
